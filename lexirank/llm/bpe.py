@@ -29,9 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batches_by_bytes
+
 #: Fixed value: the pre-tokenizer pattern of public byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BATCH_BYTES = 4 << 20
 #: Words whose encodings a worker keeps from batch to batch (some 200 bytes each); beyond it, the worker starts anew.
 KEPT_WORDS = 500_000
 #: Texts of these characters only, in which every character above U+007F is a letter, are cut by the standard library,
@@ -198,30 +199,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about limit bytes of text each; a longer text is a slice of its own."""
-    import pyarrow.compute as pc
-
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
-    ends, start = np.cumsum(size), 0
-    while start < batch.num_rows:
-        base = ends[start] - size[start]
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(doc_id, ids) of each text, with decode also (decoded), the text that the ids stand for."""
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        for whole in batches:
-            for batch in by_bytes(whole, "text"):
-                tokens, counts = vocab.encode([t or "" for t in batch.column("text").to_pylist()])
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids] + ([vocab.decode(tokens, counts)] if decode else []), schema=kind)
+        for batch in batches_by_bytes(batches, "text"):
+            tokens, counts = vocab.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids] + ([vocab.decode(tokens, counts)] if decode else []), schema=kind)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode)

@@ -18,8 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -72,9 +72,10 @@ class Words:
     """The words of a batch of texts as arrays: start, length and document of each word, in order.
 
     texts: an Arrow string array; null counts as empty. Nothing is cut: a text of any length is taken whole.
+    table: 256 bytes that the bytes of the texts are replaced by first, such as LOWER.
     """
 
-    def __init__(self, texts, lower: bool = False):
+    def __init__(self, texts, table: np.ndarray | None = None):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -84,7 +85,7 @@ class Words:
         raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and n else np.zeros(0, np.uint8)
         self.offsets = off - off[0]
         self.buf = np.zeros(len(raw) + 8, dtype=np.uint8)
-        self.buf[: len(raw)] = _LOWER[raw] if lower else raw
+        self.buf[: len(raw)] = raw if table is None else table[raw]
         self.n_docs, size = n, len(raw)
         solid = ~_IS_SPACE[self.buf[:size]]
         edge = np.zeros(size + 1, dtype=bool)
@@ -99,6 +100,15 @@ class Words:
         self.per_doc = np.bincount(self.doc, minlength=n) if n else np.zeros(0, np.int64)
         self.first_word = np.concatenate([[0], np.cumsum(self.per_doc)]).astype(np.int64)
 
+    def per_text(self, mask: np.ndarray) -> np.ndarray:
+        """How many bytes of each text the mask (over all bytes) has."""
+        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+
+    @property
+    def bytes(self) -> np.ndarray:
+        return self.buf[: int(self.offsets[-1])]
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; different seeds give independent hashes."""
         at = np.lib.stride_tricks.as_strided(self.buf[:8].view("<u8"), shape=(max(0, len(self.buf) - 7),), strides=(1,))
@@ -141,5 +151,29 @@ def word_count(col):
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def held_out(id_col, parts: int, remainder: int):
+    """Rows that no label is learned from: crc32 of the id as text, modulo parts, is remainder. A null id is not one."""
+    return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts)) == remainder, F.lit(False))
+
+
+def sampled(id_col, total: int, bound: int):
+    """A filter that keeps about bound of total rows, the same rows in every run."""
+    share = min(1.0, bound / max(1, total))
+    return F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def batches_by_bytes(batches, column: str, limit: int = 4 << 20):
+    """Slices of Arrow batches with about limit bytes of text each; a longer text is a slice of its own, taken whole."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+        ends, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -113,7 +113,7 @@ def probe_store(rows: DataFrame, store: DataFrame, shards: int) -> DataFrame:
     return distinct_digests(rows, shards).groupBy("shard").cogroup(store.groupBy("shard")).applyInArrow(_probe, "digest binary, winner long, n long, member boolean")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_shard: int = 50_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_shard: int = 4_000) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     The lower half of the id range is the history, the rest comes in against it; ids and texts may be null.

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, quality, toxicity
 from .bpe import bpe_digests
-from .common import read
+from .common import held_out, read
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .warc import warc_round_trip
@@ -17,10 +19,30 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("matches").alias("n_matches"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    found = language.identify(docs, language.train(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_langs"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    model = quality.train(docs, read(spark, sf_dir, "labels"), ~held)
+    scored = quality.apply(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_warc, op7_bpe, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op7_bpe, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
