@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, toxicity
+from . import language, line_rules, quality, toxicity
 from .bpe import bpe_digests
 from .common import held_out, read
 from .exact_dedup import exact_dedup
@@ -49,11 +49,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_rules.label_lines(docs, line_rules.train(docs, read(spark, sf_dir, "labels"))).drop("labels")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op7_bpe, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op7_bpe, op9_line_rules, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
