@@ -12,6 +12,7 @@ from .bpe import bpe_digests
 from .common import held_out, read
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .substring_dedup import remove_repeats
 from .warc import warc_round_trip
 
 
@@ -49,6 +50,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_rules.label_lines(docs, line_rules.train(docs, read(spark, sf_dir, "labels"))).drop("labels")
@@ -58,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op7_bpe, op9_line_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op7_bpe, op8_substring_dedup, op9_line_rules, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
