@@ -11,6 +11,7 @@ from . import language, line_rules, quality, toxicity
 from .bpe import bpe_digests
 from .common import held_out, read
 from .exact_dedup import exact_dedup
+from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import remove_repeats
 from .warc import warc_round_trip
@@ -44,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op7_bpe, op8_substring_dedup, op9_line_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op6_jaccard_join, op7_bpe, op8_substring_dedup, op9_line_rules, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
