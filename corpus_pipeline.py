@@ -17,7 +17,7 @@ from lexirank.llm.jaccard_join import near_duplicates
 from lexirank.llm.mixing import mix_sources
 
 #: A document stays if its estimated probability of being good is at least this.
-MIN_QUALITY = 0.5
+MIN_QUALITY = 0.7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
