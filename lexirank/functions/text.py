@@ -8,6 +8,7 @@ from collections.abc import Collection
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from . import porter
 from .stopwords import english
@@ -22,7 +23,7 @@ QUESTION_WORDS = (
 ).split()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
     """Stems of arrays of words; a worker keeps the last stems it has met."""
     return words.map(lambda a: None if a is None else [porter.stem(w) for w in a])
@@ -117,7 +118,7 @@ def fuzzy_score(typed: str, candidate: str) -> float:
 
 
 def fuzzy_scores(typed: str, candidate: Column) -> Column:
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fuzzy_score(typed, t or ""))
 
