@@ -14,6 +14,7 @@ from . import rank as r
 #: Characters of a document that are cut into segments for display.
 MAX_CHARS = 120_000
 RRF_DEPTH = 400
+#: Titles of the models.
 TITLES = {
     "bm25": "BM25 (Okapi)", "vsm": "Vector space model (TF-IDF cosine)", "bim": "Binary independence model", "lm_dirichlet": "Language model (Dirichlet smoothing)",
     "rocchio_prf": "Rocchio pseudo-relevance feedback + cosine", "rm3": "RM3 → BM25 rescoring", "hybrid_rrf": "Hybrid RRF",
