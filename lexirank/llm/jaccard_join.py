@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ from .counting import PARTS, SLOT_BITS, answers, parts, totals
 
 #: What a posting list's length adds to the cost of probing it, in DivideSkip's rule for the number of long lists.
 MU = 0.01
+#: Up to so many postings, short lists are merged with a heap; more are merged in bulk, with the same result.
+HEAP_POSTS = 4096
 _NULL = np.iinfo(np.int64).max
 SETS = "doc_id long, n long, d1 long, d2 long, common long, keys binary, prefix array<long>"
 EDGES = "a long, b long"
@@ -131,45 +134,60 @@ class Block:
         overlap = np.bincount(np.concatenate([self.posts[self.begin[i] : self.begin[i + 1]] for i in found]), minlength=len(self.sizes))
         return np.flatnonzero(self.links(size, overlap, self.sizes) & (overlap > 0))
 
-    def search(self, key: np.ndarray, size: int, wanted) -> Iterator[int]:
-        """The sets that link and that are wanted (a function of the set's number), by DivideSkip."""
+    def search(self, key: np.ndarray, size: int, wanted: np.ndarray) -> list[int]:
+        """The sets that link and that are wanted (a mask over the sets), by DivideSkip: merge the short lists for sets
+        that may still reach the threshold, probe the long lists for those."""
         least = -(-self.percent * size // 100)
         found = self.lists(key)
         if len(found) < least:
-            return
-        found = found[np.argsort(self.begin[found + 1] - self.begin[found], kind="stable")]
-        lists = [self.posts[self.begin[i] : self.begin[i + 1]].tolist() for i in found]
-        n_long = min(least - 1, int(least / (MU * math.log2(len(lists[-1]) + 1) + 1)))
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        need = least - n_long
-        heads = [(x[0], i, 0) for i, x in enumerate(short)]
-        heapq.heapify(heads)
-        while len(heads) >= need:
-            top, popped = heads[0][0], []
-            while heads and heads[0][0] == top:
+            return []
+        length = self.begin[found + 1] - self.begin[found]
+        found = found[np.argsort(length, kind="stable")]
+        n_long = min(least - 1, int(least / (MU * math.log2(int(length.max()) + 1) + 1)))
+        short, long, need = found[: len(found) - n_long], found[len(found) - n_long :], least - n_long
+        lists = [self.posts[self.begin[i] : self.begin[i + 1]] for i in short]
+        if sum(map(len, lists)) <= HEAP_POSTS:
+            pairs = list(merge_skip([x.tolist() for x in lists], need))
+            sets, overlap = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+        else:  # many postings: the sorted lists are merged by numpy's stable sort, which joins sorted runs
+            merged = np.sort(np.concatenate(lists), kind="stable")
+            first = np.flatnonzero(np.diff(merged, prepend=-1))
+            sets, overlap = merged[first], np.diff(np.append(first, len(merged)))
+        keep = wanted[sets] & (overlap >= need)
+        sets, overlap = sets[keep], overlap[keep]
+        for i in reversed(long):  # longest first; sets that can no longer reach the threshold drop out
+            if not len(sets):
+                break
+            row = self.posts[self.begin[i] : self.begin[i + 1]]
+            at = np.minimum(np.searchsorted(row, sets), len(row) - 1)
+            overlap, n_long = overlap + (row[at] == sets), n_long - 1
+            keep = overlap + n_long >= least
+            sets, overlap = sets[keep], overlap[keep]
+        return sets[self.links(size, overlap, self.sizes[sets])].tolist()
+
+
+def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
+    """(number, count) of the numbers that need or more of the sorted lists hold: a heap of the lists' heads, in which
+    heads that cannot be held by enough lists are skipped to the first number that can."""
+    heads = [(x[0], i, 0) for i, x in enumerate(lists)]
+    heapq.heapify(heads)
+    while len(heads) >= need:
+        top, popped = heads[0][0], []
+        while heads and heads[0][0] == top:
+            popped.append(heapq.heappop(heads))
+        if len(popped) >= need:
+            yield top, len(popped)
+            goal = top + 1
+        else:
+            while len(popped) < need - 1 and heads:
                 popped.append(heapq.heappop(heads))
-            if len(popped) >= need:
-                if wanted(top):
-                    overlap = len(popped)
-                    for j, x in enumerate(reversed(long)):
-                        if overlap + len(long) - j < least:
-                            break
-                        p = bisect_left(x, top)
-                        overlap += p < len(x) and x[p] == top
-                    else:
-                        if self.links(size, overlap, int(self.sizes[top])):
-                            yield top
-                goal = top + 1
-            else:  # too few lists hold it: skip to the first set that enough lists can still hold
-                while len(popped) < need - 1 and heads:
-                    popped.append(heapq.heappop(heads))
-                if not heads:
-                    return
-                goal = heads[0][0]
-            for _, i, p in popped:
-                p = bisect_left(short[i], goal, p)
-                if p < len(short[i]):
-                    heapq.heappush(heads, (short[i][p], i, p))
+            if not heads:
+                return
+            goal = heads[0][0]
+        for _, i, p in popped:
+            p = bisect_left(lists[i], goal, p)
+            if p < len(lists[i]):
+                heapq.heappush(heads, (lists[i][p], i, p))
 
 
 class _Union:
@@ -198,31 +216,41 @@ def _sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
     return [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()], table["n"].to_numpy(), table["rep"].to_pylist()
 
 
-def join_block(index: pa.Table, queries: pa.Table, percent: int, pivots: int = 32) -> pa.Table:
+def join_block(index: pa.Table, queries: pa.Table, percent: int, itself: bool = False, pivots: int = 64) -> pa.Table:
     """Edges that join components among index and queries, both with rep, n, keys, comp; rows of equal comp are joined
-    already. Only components matter, so sets of one component are never compared."""
+    already. Only components matter, so sets of one component are never compared.
+
+    itself: queries are the index. Then sets of the largest component need no search: a link that joins components has an
+    end outside it. The first sets to be searched in a large block, its pivots, are searched by counting.
+    """
     keys, sizes, reps = _sets(index)
     q_keys, q_sizes, q_reps = _sets(queries)
-    block, names = Block(keys, sizes, percent), [*reps, *q_reps]
+    block, names, shift = Block(keys, sizes, percent), reps if itself else [*reps, *q_reps], 0 if itself else len(reps)
     union, found, by = _Union(len(names)), [], {}
-    for i, comp in enumerate([*index["comp"].to_pylist(), *queries["comp"].to_pylist()]):
+    for i, comp in enumerate(index["comp"].to_pylist() + ([] if itself else queries["comp"].to_pylist())):
         union.join(by.setdefault(comp, i), i)
-
-    def join(i: int, j: int) -> None:
-        if union.join(i, j):
-            found.append((names[i], names[j]))
-
-    step = max(1, len(q_keys) // pivots)
-    for i in range(0, len(q_keys), step) if len(q_keys) > pivots else ():
-        for j in block.scan(q_keys[i], int(q_sizes[i])).tolist():
-            join(len(reps) + i, j)
-    for i, (key, size) in enumerate(zip(q_keys, q_sizes.tolist(), strict=True)):
-        me = len(reps) + i
-        root = union.find(me)
-        if all(union.find(j) == root for j in range(len(reps))) if len(reps) <= 4 * len(key) else False:
-            continue
-        for j in block.search(key, size, lambda j, me=me: union.find(j) != union.find(me)):
-            join(me, j)
+    scans = pivots if len(q_keys) > pivots else 0
+    left, roots = list(range(len(q_keys))), None
+    while left:
+        main = Counter(map(union.find, range(len(names)))).most_common(1)[0][0] if itself else -1
+        now, left = [i for i in left if union.find(shift + i) != main], [i for i in left if union.find(shift + i) == main]
+        if not now:
+            break
+        for n, i in enumerate(now):
+            own = union.find(shift + i)
+            if itself and own == union.find(main):
+                left.append(i)  # it has come into the largest component meanwhile
+                continue
+            if n < scans:
+                links = block.scan(q_keys[i], int(q_sizes[i])).tolist()
+            else:
+                roots = np.array([union.find(j) for j in range(len(reps))]) if roots is None else roots
+                links = block.search(q_keys[i], int(q_sizes[i]), roots != own)
+            for j in links:
+                if union.join(shift + i, j):
+                    found.append((names[shift + i], names[j]))
+                    roots = None
+        scans = 0
     return _edges(found)
 
 
@@ -246,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def within(key: tuple, table: pa.Table) -> pa.Table:
         own = table.append_column("comp", table["rep"])
-        return join_block(own, own, percent)
+        return join_block(own, own, percent, itself=True)
 
     def across(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
         return join_block(index, queries, percent)

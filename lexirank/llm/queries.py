@@ -87,4 +87,22 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
         FROM g""",
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+        s AS (SELECT DISTINCT r, array_to_string(l[i:i + 4], ' ') AS g FROM (SELECT r, l, unnest(range(1, greatest(len(l) - 3, 2))) AS i FROM t WHERE len(l) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+        e AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        reach(a, b) AS (SELECT r, r FROM t UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+        c AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN t ON t.r = b GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM t JOIN c ON c.a = t.r LEFT JOIN n USING (r)""",
+    "op8_substring_dedup": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+        w AS (SELECT r, i, array_to_string(l[i:i + 34], ' ') AS k FROM (SELECT r, l, unnest(range(1, len(l) - 33)) AS i FROM t)),
+        twice AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM twice),
+        words AS (SELECT r, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM t),
+        kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, len(l) AS n_words, len(l) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (r)""",
 }

@@ -71,7 +71,9 @@ def test_empty(spark):
     assert j.near_duplicates(docs).count() == 0 and remove_repeats(docs).count() == 0
 
 
-def test_divide_skip_against_counting():
+@pytest.mark.parametrize("heap_posts", [0, 1 << 30])
+def test_divide_skip_against_counting(monkeypatch, heap_posts):
+    monkeypatch.setattr(j, "HEAP_POSTS", heap_posts)
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 60, 90).astype(np.uint64)
     keys, sizes = [], []
@@ -82,7 +84,7 @@ def test_divide_skip_against_counting():
     block = j.Block(keys, np.array(sizes), 80)
     for key, size in zip(keys, sizes, strict=True):
         want = [i for i, (k, n) in enumerate(zip(keys, sizes, strict=True)) if 100 * (o := len(np.intersect1d(key, k))) >= 80 * (size + n - o)]
-        assert sorted(block.search(key, size, lambda i: True)) == want == block.scan(key, size).tolist()
+        assert sorted(block.search(key, size, np.ones(len(keys), bool))) == want == block.scan(key, size).tolist()
 
 
 def test_connected_components(spark):
