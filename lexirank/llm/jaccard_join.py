@@ -261,16 +261,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
     some = every.where(F.col("keys").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_NULL))))
     # a class: documents of equal sets, under the smallest id; a null id alone is a class without a number to link by
-    classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by(F.struct("n", "keys", "prefix"), "doc_id").alias("s")).select("d1", "d2", "rep", "size", "s.*"), "classes")
+    classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
 
-    posts = classes.select("rep", F.explode("prefix").alias("term"))
+    # sets are wide, so what follows moves them once, and only those of classes that have a candidate are written again
+    chosen = classes.select("rep", F.col("d1").alias("_d1"), F.col("d2").alias("_d2"))
+    is_rep = (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))
+    posts = some.select("doc_id", "d1", "d2", "prefix").join(chosen, is_rep).dropDuplicates(["doc_id", "d1", "d2"]).select("rep", F.explode("prefix").alias("term"))
+    posts = materialize(posts, "posts")
     heads = posts.groupBy("term").agg(F.min("rep").alias("head"), F.count("*").alias("times")).where("times > 1").select(F.col("term").alias("of"), "head")
     candidates = posts.join(heads, F.col("term") == F.col("of")).where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     clusters = materialize(connected_components(candidates), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("sets")).withColumn("shards", F.ceil(F.col("sets") / block_sets)).withColumnRenamed("component", "cluster")
     members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sizes, "cluster")
     members = members.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")))
-    members = materialize(members.join(classes.select("rep", "n", "keys"), "rep").select("rep", "cluster", "shards", "shard", "n", "keys"), "members")
+    wide = some.select("doc_id", "d1", "d2", "n", "keys").join(members.join(chosen, "rep"), is_rep).dropDuplicates(["doc_id", "d1", "d2"])
+    members = materialize(wide.select("rep", "cluster", "shards", "shard", "n", "keys"), "members")
+    release(spark)
 
     def within(key: tuple, table: pa.Table) -> pa.Table:
         own = table.append_column("comp", table["rep"])
@@ -292,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         todo = placed.join(main, "cluster").where("comp != main")
         if searched is None:  # and of each shard one set of every component that is the largest somewhere
             heads = placed.groupBy("cluster", "shard", "comp").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).groupBy("cluster", "shard").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("rep"))
-            todo = todo.unionByName(placed.join(heads.select("rep"), "rep", "left_semi").join(main, "cluster")).dropDuplicates(["rep"])
+            todo = todo.unionByName(placed.join(heads.select("rep"), "rep", "left_semi").join(main, "cluster")).dropDuplicates(["rep", "keys"])
         else:
             todo = todo.join(searched, "rep", "left_anti")
         todo = materialize(todo.select("rep", "cluster", "shards", "n", "keys", "comp"), "todo")
