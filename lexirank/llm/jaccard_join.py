@@ -18,9 +18,9 @@ hold. It runs in four steps, each of which loses no link.
    has been: a link that joins components then has an end that was searched everywhere.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle
-has the whole sequence as its one shingle; repeated rows are one class and link by their ids; a null id is a row like
-any other, counts as larger than any id within its class, and has component null only if all of the component's ids are
-null; other columns are ignored; an empty table gives an empty result.
+has the whole sequence as its one shingle; repeated rows are one class, and rows with words that share an id are linked;
+a null id is a row like any other, counts as larger than any id within its class, and has component null only if all of
+the component's ids are null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
