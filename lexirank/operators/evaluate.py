@@ -69,13 +69,16 @@ def compare(index: Index, queries: DataFrame, qrels: DataFrame, models: Sequence
 
 
 def grid_parts(index: Index, terms: DataFrame, k1_values: Sequence[float], b_values: Sequence[float]) -> DataFrame:
-    """BM25 scores for each parameter pair: every posting is met once, and its pairs are an array on the row."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k in k1_values for b in b_values])
+    """BM25 scores for each parameter pair. A posting is met once and adds to one sum per pair, so the rows multiply by
+    the pairs only after they are summed up by document."""
     known = terms.join(index.terms.select("term", "idf_bm25"), "term").crossJoin(F.broadcast(index.corpus.select("adl", "k2")))
     known = known.withColumn("weight", F.col("idf_bm25") * bm25_query_component(F.col("qf"), F.col("k2")))
-    parts = index.postings.join(known, "term").withColumn("pair", F.explode(pairs)).select("query_id", "pos", "tf", "dl", "adl", "weight", "pair.k1", "pair.b")
-    norm = F.col("k1") * ((1 - F.col("b")) + F.col("b") * (F.col("dl") / F.col("adl")))
-    return parts.groupBy("k1", "b", "query_id", "pos").agg(F.sum(F.col("weight") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + norm)).alias("score"))
+    parts = index.postings.join(known, "term").select("query_id", "pos", "tf", (F.col("dl") / F.col("adl")).alias("ratio"), "weight")
+    pairs = [(float(k1), float(b)) for k1 in k1_values for b in b_values]
+    score = lambda k1, b: F.sum(F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("ratio"))))
+    sums = parts.groupBy("query_id", "pos").agg(*[score(*p).alias(f"s{i}") for i, p in enumerate(pairs)])
+    each = F.explode(F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(f"s{i}").alias("score")) for i, (k1, b) in enumerate(pairs)]))
+    return sums.select("query_id", "pos", each.alias("p")).select("p.k1", "p.b", "query_id", "pos", "p.score")
 
 
 def grid_search(index: Index, queries: DataFrame, qrels: DataFrame, k1_values: Sequence[float] = K1_GRID, b_values: Sequence[float] = B_GRID, depth: int = 25) -> DataFrame:
