@@ -14,7 +14,7 @@ from lexirank.llm.bpe import bpe_digests
 from lexirank.llm.common import held_out, materialize, read
 from lexirank.llm.exact_dedup import exact_dedup
 from lexirank.llm.jaccard_join import near_duplicates
-from lexirank.llm.mixing import mix_sources
+from lexirank.llm.mixing import mix_sources, whole_copies
 
 #: A document stays if its estimated probability of being good is at least this.
 MIN_QUALITY = 0.7
@@ -42,9 +42,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: once for each full size taken, and once more for a rest of at
-    least half its size. Documents of which the mix takes less than that are left out."""
-    taken = mix_sources(docs).select(F.col("doc_id").alias("_id"), F.expr("CASE WHEN size > 0 THEN cast(round(taken / size) AS int) ELSE 0 END").alias("_times"))
+    """Each document as often as the mix takes its words: once for each full size taken, and for the rest once more with
+    the rest's share of its size as the chance. Each source's words come within one document of what the mix takes."""
+    taken = whole_copies(materialize(mix_sources(docs), "mixed")).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_times"))
     taken = taken.where("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
     out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

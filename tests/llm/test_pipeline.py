@@ -50,3 +50,22 @@ def test_stages(spark):
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_mix_meets_targets(spark):
+    """Long documents of sources whose ratio of target to size is on either side of a half."""
+    rows = [(i, " ".join(["w"] * (640 + i % 400 if i % 2 else 40 + i % 60)), "abc"[i % 3]) for i in range(900)]
+    rows += [(900 + i, " ".join(["w"] * (700 + i)), None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["source"]: r["target"] for r in pipeline.mix_sources(docs).collect()}
+    words, size, long, longest = Counter(), {i: len(t.split()) for i, t, _ in rows}, Counter(), Counter()
+    for r in pipeline.mix(spark, docs, SF).collect():
+        words[r["source"]] += size[r["doc_id"]]
+        long[r["source"]] += size[r["doc_id"]] >= 640
+    for i, _, s in rows:
+        longest[s] = max(longest[s], size[i])
+    for s, target in plan.items():
+        assert abs(words[s] - target) <= longest[s] + 64, s
+        have, ratio = sum(size[i] >= 640 for i, _, x in rows if x == s), target / sum(size[i] for i, _, x in rows if x == s)
+        assert 0.7 * ratio < long[s] / have < 1.3 * ratio, s
+    assert any(t / sum(size[i] for i, _, x in rows if x == s) < 0.5 for s, t in plan.items())
