@@ -7,8 +7,8 @@ record, so candidates prove nothing: pointer jumping from offset 0 of each file
 reaches, and only those are records.
 
 Of records with equal payloads of at least min_payload bytes, that with the largest id is a response and the others are
-revisits of it. Defined cases: null html is an empty payload; a null url is an empty one, and control characters in it
-are dropped; a null id never wins, and where all ids of a group are null all are responses; repeated rows give repeated
+revisits of it. Defined cases: null html is an empty payload; a null url is an empty one, one of any length is
+kept, and control characters in it are dropped; a null id never wins, and where all ids of a group are null all are responses; repeated rows give repeated
 records; an empty table gives no record and an empty result; other columns are ignored.
 """
 
@@ -31,7 +31,7 @@ MAGIC = b"WARC/1.1\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Dealt to all executors only up to so many groups of copies (about 60 bytes each); beyond it, Spark joins by shuffling.
 BROADCAST_GROUPS = 100_000
-_HEAD = 1 << 16  # bytes that a record's header may take
+_HEAD = 1 << 16  # bytes read at first for a record's header; longer headers are read on
 
 CANDIDATE = "path string, split long, offset long, next long, exit long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 _FIELDS = ("path", "split", "offset", "next", "exit", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
@@ -107,14 +107,28 @@ def _number(text: str) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
+def _header(file: _Range, offset: int, size: int) -> bytes | None:
+    """The bytes at offset up to the first blank line, read on until it is found. None where a whole line before it has no
+    colon, as those of payloads soon do, or where the file ends first."""
+    n, whole = _HEAD, len(MAGIC)
+    while True:
+        head = file.get(offset, min(n, size - offset))
+        stop = head.find(b"\r\n\r\n")
+        if stop >= 0:
+            return head[:stop]
+        last = head.rfind(b"\r\n", whole)
+        if n >= size - offset or (last > whole and any(b":" not in line for line in head[whole:last].split(b"\r\n"))):
+            return None
+        n *= 2
+
+
 def _record(file: _Range, offset: int, size: int) -> dict | None:
     """What the bytes at offset say, if they are the header of a record that ends within the file."""
-    head = file.get(offset, min(_HEAD, size - offset))
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
+    head = _header(file, offset, size)
+    if head is None:
         return None
-    fields = {}
-    for line in head[len(MAGIC) : stop].split(b"\r\n"):
+    stop, fields = len(head), {}
+    for line in head[len(MAGIC) :].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None

@@ -51,3 +51,14 @@ def test_digest_is_base32(spark):
 
     got = spark.createDataFrame([("abc",)], "t string").select(base32(F.sha1(F.col("t").cast("binary"))).alias("d")).first()["d"]
     assert got == base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+
+
+def test_long_urls(spark, tmp_path):
+    """Headers longer than the first read, than a range, and of a false record that never ends."""
+    urls = {3: "http://x/" + "u" * 70_000, 7: "é" * 150_000, 8: "v" * (1 << 16)}
+    html = {5: "WARC/1.1\r\nName: " + "x" * 200_000, 6: "WARC/1.1\r\n" * 3 + "y" * 100_000}
+    rows = [(i, urls.get(i, f"http://x/{i}"), html.get(i, f"<p>{i}</p>")) for i in range(12)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    for split in (4 << 20, 50_000):
+        got = {x["page_id"]: x["payload_bytes"] for x in read_warc(spark, str(tmp_path / "w"), split_bytes=split).collect()}
+        assert got == {i: len(h.encode()) for i, _, h in rows}
