@@ -145,7 +145,7 @@ def _explanation(model: str) -> Callable[[SparkSession, str], DataFrame]:
         index, _, terms, _ = setting(spark, sf_dir)
         pairs = materialize(_pairs(spark, sf_dir), "pairs")
         if model == "hybrid_rrf":
-            return _six(ex.explain_fusion(index, terms, pairs, 100))
+            return _six(ex.explain_fusion(index, terms, pairs))
         return _six(ex.explain_terms(index, terms, pairs, model).select("query_id", "doc_id", "term", "status", "query_weight", "tf_doc", "contribution", "from_feedback"))
 
     return run

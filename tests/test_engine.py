@@ -162,3 +162,16 @@ def test_bm25_against_plain_python(spark, tmp_path):
                     idf = math.log((len(rows) - df[t] + 0.5) / (df[t] + 0.5) + 1)
                     want[d] += idf * bag[t] * 2.5 / (bag[t] + 1.5 * (0.25 + 0.75 * lengths[d] / mean)) * qf * 501 / (qf + 500)
         assert got[str(i)] == pytest.approx(dict(want))
+
+
+def test_fusion_is_explained_to_full_depth(spark, tmp_path):
+    """BM25's first document is beyond the first hundred of the vector model."""
+    from lexirank.queries import QUERIES
+
+    rare = " ".join(f"rare{i}" for i in range(60))
+    rows = [(0, " ".join(["alpha " + rare] * 20))] + [(i, "beta") for i in range(1, 151)] + [(i, " ".join(f"other{i}x{j}" for j in range(60))) for i in range(151, 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "alpha beta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x["ranker"]: x for x in QUERIES["explain_hybrid_rrf"](spark, str(tmp_path)).where("doc_id = '0'").collect()}
+    assert got["BM25"]["rank"] == 1
+    assert got["VSM"]["rank"] == 151 and got["VSM"]["raw_score"] > 0 and got["VSM"]["rrf_component"] == pytest.approx(1 / 211, abs=1e-6)
