@@ -228,8 +228,8 @@ def learn_lexicon(rows: DataFrame, least: float = 25.0, ratio: float = 5.0, star
     plain = [t for t in strength if not t.endswith("*")]
     # a beginning counts as one if several words of it were found, or none; otherwise it is a piece of that one word
     beginnings = sorted(s for s in starts if sum(t.startswith(s) for t in plain) != 1)
-    words = sorted(t for t in plain if not any(t.startswith(s) for s in beginnings))
-    return {"words": {t: weight[t] for t in words}, "beginnings": {s: weight[s + "*"] for s in beginnings}}
+    # words stay beside the beginnings they have: those match exactly, and only words are searched with edits
+    return {"words": {t: weight[t] for t in sorted(plain)}, "beginnings": {s: weight[s + "*"] for s in beginnings}}
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000) -> dict:

@@ -106,6 +106,14 @@ def test_automaton_against_distances():
     assert a.match("loweichen") % 4 == 3 and a.match("lowe") == 0 and a.match("") == 0
 
 
+def test_words_stay_fuzzy_beside_their_beginning(spark):
+    rows = [(f"you {('idiot', 'idiots')[i % 2]} t{i}", 1) for i in range(60)] + [(f"fine day t{i}", 0) for i in range(60)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert lexicon["beginnings"] and {"idiot", "idiots"} <= set(lexicon["words"])
+    a = toxicity.Automaton(lexicon["words"], lexicon["beginnings"])
+    assert [a.match(w) % 4 for w in ("idiot", "ldiot", "ldiots", "idiotic", "day")] == [1, 2, 2, 3, 0]
+
+
 def test_quotations():
     m = toxicity.Matcher({"words": {"idiot": 2.0}, "beginnings": {}})
     x, found = m.features(['He said "you idiot" to him.', "You idiot!", None, ""])
