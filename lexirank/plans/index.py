@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Collection
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import analyze
 from ..schemas import INDEX
-from ..storage import materialize, shared_dir
+from ..storage import materialize, scratch
 
 #: The models' constants.
 MU, K1, B, K2 = 2000.0, 1.5, 0.75, 500.0
@@ -47,7 +46,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Build the index and write it to path (else into the shared folder). Ids must be unique; order: the corpus order,
     by default the id's. Null text is empty; documents without a term count in the corpus size and mean length."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/lexirank/index-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "index")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(order or id_col).alias("_order"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = materialize(positions(rows, "_order").select("pos", F.col("_id").cast("string").alias("doc_id"), "text"), "placed")
     counts = materialize(analyze(placed, "pos", "text", stop_words).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.min("position").alias("first_pos")), "counts")
