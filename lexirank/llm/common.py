@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir  # noqa: F401
+from ..storage import discard, materialize, scratch  # noqa: F401
 
 #: The white space of every contract in this folder: space, tab, LF, VT, FF, CR.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -30,14 +30,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def size_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the input's size, from file sizes; no scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, and sixteen more a row. One scan of a column: sizes of files say little about texts that were
+    compressed well, and of what is no file Spark has no size."""
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long") + 16
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
-def pieces(df: DataFrame, mb: float, least: int = 4, most: int = 1 << 16) -> int:
-    """How many pieces of about mb megabytes of input make up df."""
-    return int(min(most, max(least, -(-size_bytes(df) // int(mb * 1e6)))))
+def pieces(n_bytes: int, mb: float, least: int = 4) -> int:
+    """How many pieces of about mb megabytes make up so many bytes."""
+    return max(least, -(-n_bytes // int(mb * 1e6)))
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
+    """(doc_id, text, chunk): rows dealt into chunks by their place in the input, so that rows that repeat are spread as
+    all others are. Null texts are empty. For tables read from files, where a row's place is the same in every run of a
+    task; the exchange by chunk that follows is read more than once and made once."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    place = F.xxhash64(F.monotonically_increasing_id())
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text, F.pmod(place, F.lit(chunks)).alias("chunk"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

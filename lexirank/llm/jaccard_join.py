@@ -9,12 +9,13 @@ hold. It runs in four steps, each of which loses no link.
 2. Candidates. Documents with equal shingle sets become one class. Each class posts its rarest shingles, so many that a
    link must share one (in DivideSkip's terms, all lists but the T - 1 longest). Classes that meet in a posting are
    candidates; their components, through edges to the smallest class of a posting, are clusters that links never leave.
-3. Search. A cluster, or a shard of a large one, is a block with its own inverted index. Classes that link to a pivot of
-   the block are one component at once. For every other class the short lists are merged with a heap that skips what
-   cannot reach the threshold, the long lists are probed by binary search, and those that reach the overlap are linked.
-   Only links between different components of a block are looked for, and a block returns one edge per merger at most.
-4. Large clusters. Edges of all shards give components. Classes outside their cluster's largest component, and some
-   pivots of each shard, are searched in all shards of the cluster, until every class outside the largest component
+3. Search. A cluster, or a shard of a large one, is a block with its own inverted index. For a class the short lists are
+   merged with a heap that skips what cannot reach the threshold, the long lists are probed by binary search, and those
+   that reach the overlap are linked. Only components matter: a class is first searched for among the block's largest
+   component, where one link is enough, and only if it has none there among all others. A class outside the largest
+   component has then met all others, so no link between components is missed; a block returns one edge per merger.
+4. Large clusters. Edges of all shards give components. Classes outside their cluster's largest component, and one of
+   each shard's largest, are searched in all shards of the cluster, until every class outside the largest component
    has been: a link that joins components then has an end that was searched everywhere.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle
@@ -28,22 +29,20 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, materialize, mix, pieces, release
+from .common import LOWER, Words, dealt, discard, materialize, mix, pieces, release, text_bytes
 from .components import connected_components
-from .counting import PARTS, SLOT_BITS, answers, parts, totals
+from .counting import FRAMES, Butterfly, answers, slot_bits
 
 #: What a posting list's length adds to the cost of probing it, in DivideSkip's rule for the number of long lists.
 MU = 0.01
-#: Up to so many postings, short lists are merged with a heap; more are merged in bulk, with the same result.
-HEAP_POSTS = 4096
 _NULL = np.iinfo(np.int64).max
 SETS = "doc_id long, n long, d1 long, d2 long, common long, keys binary, prefix array<long>"
 EDGES = "a long, b long"
@@ -52,7 +51,7 @@ EDGES = "a long, b long"
 class _Chunk:
     """The distinct shingles of the documents of one chunk, sorted by document."""
 
-    def __init__(self, table: pa.Table, k: int):
+    def __init__(self, table: pa.Table, k: int, bits: int):
         w = Words(table["text"], LOWER)
         h = w.hashes()
         keys, at = w.windows(h, k)
@@ -68,7 +67,7 @@ class _Chunk:
         self.keys, self.doc, self.n_docs = keys[new], doc[new], w.n_docs
         self.n = np.bincount(self.doc, minlength=w.n_docs) if len(self.doc) else np.zeros(w.n_docs, np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
-        self.slot, self.which, self.counts = np.unique(self.keys >> np.uint64(64 - SLOT_BITS), return_inverse=True, return_counts=True)
+        self.slot, self.which, self.counts = np.unique(self.keys >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
 
     def digest(self, seed: int) -> np.ndarray:
         """A hash of each document's set."""
@@ -76,34 +75,38 @@ class _Chunk:
         return (sums[self.begin[1:]] - sums[self.begin[:-1]]).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, chunk_mb: float = 4, slice_mb: float = 12) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, chunk_mb: float = 12) -> DataFrame:
     """One row per document: its set's size n and digest, and, if it can have links, its shared shingles and its prefix.
 
     common: shingles that another document may hold; keys: those, sorted; prefix: those of them that the document posts.
+    chunk_mb: megabytes of text in a chunk; they bound the memory of a task.
     """
-    n_chunks, n_slices = pieces(docs, chunk_mb, 32), pieces(docs, slice_mb, 32)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))).groupBy("chunk")
+    n_bytes = text_bytes(docs, text_col)
+    grid, bits = Butterfly.of(pieces(n_bytes, chunk_mb, 32)), slot_bits(n_bytes)
+    chunks = dealt(docs, id_col, text_col, grid.nodes).groupBy("chunk")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        c = _Chunk(table, k)
-        return parts(key[0].as_py(), (c.slot,), c.counts, SLOT_BITS, n_slices)
+        c = _Chunk(table, k, bits)
+        return grid.frames(key[0].as_py(), 0, (c.slot,), c.counts, bits)
 
     def choose(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
-        c = _Chunk(table, k)
-        estimate = answers(back)[c.which] if len(c.keys) else np.zeros(0, np.uint8)
-        common = np.bincount(c.doc[estimate > 1], minlength=c.n_docs) if len(c.doc) else np.zeros(c.n_docs, np.int64)
+        c = _Chunk(table, k, bits)
+        totals = answers(back)
+        if len(totals) != len(c.slot):
+            raise ValueError("a chunk changed between passes")
+        estimate = totals[c.which] if len(c.keys) else np.zeros(0, np.uint8)
+        common = np.bincount(c.doc[estimate > 0], minlength=c.n_docs) if len(c.doc) else np.zeros(c.n_docs, np.int64)
         keys, prefix = [None] * c.n_docs, [None] * c.n_docs
         for i in np.flatnonzero((100 * common >= percent * c.n) & (c.n > 0)):
             own, seen = c.keys[c.begin[i] : c.begin[i + 1]], estimate[c.begin[i] : c.begin[i + 1]]
             post = len(own) - -(-percent * len(own) // 100) + 1
             first = np.lexsort((own, seen))[:post]
-            keys[i] = own[seen > 1].tobytes()
-            prefix[i] = own[first[seen[first] > 1]].view(np.int64)
+            keys[i] = own[seen > 0].tobytes()
+            prefix[i] = own[first[seen[first] > 0]].view(np.int64)
         return pa.table({"doc_id": table["doc_id"], "n": pa.array(c.n, pa.int64()), "d1": pa.array(c.digest(1)), "d2": pa.array(c.digest(2)), "common": pa.array(common, pa.int64()), "keys": pa.array(keys, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
 
-    counted = chunks.applyInArrow(sketch, PARTS).groupBy("slice").applyInArrow(totals, PARTS)
-    return chunks.cogroup(counted.groupBy("chunk")).applyInArrow(choose, SETS)
+    counted = grid.count(chunks.applyInArrow(sketch, FRAMES), bits)
+    return chunks.cogroup(counted.groupBy("receiver")).applyInArrow(choose, SETS)
 
 
 class Block:
@@ -126,44 +129,30 @@ class Block:
     def links(self, size: int, overlap, other) -> bool:
         return 100 * overlap >= self.percent * (size + other - overlap)
 
-    def scan(self, key: np.ndarray, size: int) -> np.ndarray:
-        """All sets that link, by counting through every list: for pivots, to which most of a block may link."""
-        found = self.lists(key)
-        if not len(found):
-            return np.zeros(0, np.int64)
-        overlap = np.bincount(np.concatenate([self.posts[self.begin[i] : self.begin[i + 1]] for i in found]), minlength=len(self.sizes))
-        return np.flatnonzero(self.links(size, overlap, self.sizes) & (overlap > 0))
-
-    def search(self, key: np.ndarray, size: int, wanted: np.ndarray) -> list[int]:
-        """The sets that link and that are wanted (a mask over the sets), by DivideSkip: merge the short lists for sets
-        that may still reach the threshold, probe the long lists for those."""
+    def linked(self, key: np.ndarray, size: int, allowed: np.ndarray) -> Iterator[int]:
+        """The sets among allowed (a mask over the sets) that link, in order, by DivideSkip: the heap merges the short
+        lists for sets that may still reach the threshold, and the long lists are probed for those."""
+        allowed = allowed & (100 * np.minimum(size, self.sizes) >= self.percent * np.maximum(size, self.sizes))
         least = -(-self.percent * size // 100)
-        found = self.lists(key)
-        if len(found) < least:
-            return []
-        length = self.begin[found + 1] - self.begin[found]
-        found = found[np.argsort(length, kind="stable")]
-        n_long = min(least - 1, int(least / (MU * math.log2(int(length.max()) + 1) + 1)))
-        short, long, need = found[: len(found) - n_long], found[len(found) - n_long :], least - n_long
-        lists = [self.posts[self.begin[i] : self.begin[i + 1]] for i in short]
-        if sum(map(len, lists)) <= HEAP_POSTS:
-            pairs = list(merge_skip([x.tolist() for x in lists], need))
-            sets, overlap = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-        else:  # many postings: the sorted lists are merged by numpy's stable sort, which joins sorted runs
-            merged = np.sort(np.concatenate(lists), kind="stable")
-            first = np.flatnonzero(np.diff(merged, prepend=-1))
-            sets, overlap = merged[first], np.diff(np.append(first, len(merged)))
-        keep = wanted[sets] & (overlap >= need)
-        sets, overlap = sets[keep], overlap[keep]
-        for i in reversed(long):  # longest first; sets that can no longer reach the threshold drop out
-            if not len(sets):
-                break
-            row = self.posts[self.begin[i] : self.begin[i + 1]]
-            at = np.minimum(np.searchsorted(row, sets), len(row) - 1)
-            overlap, n_long = overlap + (row[at] == sets), n_long - 1
-            keep = overlap + n_long >= least
-            sets, overlap = sets[keep], overlap[keep]
-        return sets[self.links(size, overlap, self.sizes[sets])].tolist()
+        lists = [self.posts[self.begin[i] : self.begin[i + 1]] for i in self.lists(key)]
+        lists = [x for x in (x[allowed[x]] for x in lists) if len(x)] if len(lists) >= least else []
+        if len(lists) < least:
+            return
+        lists.sort(key=len)
+        n_long = min(least - 1, int(least / (MU * math.log2(len(lists[-1]) + 1) + 1)))
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        pairs, batch = merge_skip([x.tolist() for x in short], least - n_long), 4
+        while some := list(islice(pairs, batch)):
+            sets, overlap = (np.array(x, np.int64) for x in zip(*some, strict=True))
+            for left, row in zip(range(n_long - 1, -1, -1), reversed(long), strict=True):
+                at = np.minimum(np.searchsorted(row, sets), len(row) - 1)
+                overlap = overlap + (row[at] == sets)
+                keep = overlap + left >= least  # sets that can no longer reach the threshold drop out
+                sets, overlap = sets[keep], overlap[keep]
+                if not len(sets):
+                    break
+            yield from sets[self.links(size, overlap, self.sizes[sets])].tolist()
+            batch = min(4 * batch, 1024)
 
 
 def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
@@ -190,68 +179,72 @@ def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heads, (lists[i][p], i, p))
 
 
-class _Union:
-    """Components of the sets of a block."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+class _Labels:
+    """Components of some sets as an array of labels, and the pairs that joined them."""
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+    def __init__(self, names: list[int], comps: list[int]):
+        _, self.of = np.unique(np.array(comps, np.int64), return_inverse=True)
+        self.names, self.pairs = names, []
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+    def join(self, x: int, y: int) -> None:
+        if self.of[x] != self.of[y]:
+            self.pairs.append((self.names[x], self.names[y]))
+            self.of[self.of == self.of[y]] = self.of[x]
 
+    def edges(self) -> pa.Table:
+        return pa.table({"a": pa.array([p[0] for p in self.pairs], pa.int64()), "b": pa.array([p[1] for p in self.pairs], pa.int64())})
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
+def _sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()], table["n"].to_numpy()
 
-def _sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
-    return [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()], table["n"].to_numpy(), table["rep"].to_pylist()
 
+def join_block(table: pa.Table, percent: int) -> pa.Table:
+    """Edges (a, b) that join the components among the sets of a block; table: rep, n, keys.
 
-def join_block(index: pa.Table, queries: pa.Table, percent: int, itself: bool = False, pivots: int = 64) -> pa.Table:
-    """Edges that join components among index and queries, both with rep, n, keys, comp; rows of equal comp are joined
-    already. Only components matter, so sets of one component are never compared.
-
-    itself: queries are the index. Then sets of the largest component need no search: a link that joins components has an
-    end outside it. The first sets to be searched in a large block, its pivots, are searched by counting.
+    main is a component that the others are searched in first. A set with a link to it needs no more: sets that stay
+    outside are searched everywhere, this one included. Where another component outgrows main, it takes its place.
     """
-    keys, sizes, reps = _sets(index)
-    q_keys, q_sizes, q_reps = _sets(queries)
-    block, names, shift = Block(keys, sizes, percent), reps if itself else [*reps, *q_reps], 0 if itself else len(reps)
-    union, found, by = _Union(len(names)), [], {}
-    for i, comp in enumerate(index["comp"].to_pylist() + ([] if itself else queries["comp"].to_pylist())):
-        union.join(by.setdefault(comp, i), i)
-    scans = pivots if len(q_keys) > pivots else 0
-    left, roots = list(range(len(q_keys))), None
-    while left:
-        main = Counter(map(union.find, range(len(names)))).most_common(1)[0][0] if itself else -1
-        now, left = [i for i in left if union.find(shift + i) != main], [i for i in left if union.find(shift + i) == main]
-        if not now:
-            break
-        for n, i in enumerate(now):
-            own = union.find(shift + i)
-            if itself and own == union.find(main):
-                left.append(i)  # it has come into the largest component meanwhile
+    keys, sizes = _sets(table)
+    block, done = Block(keys, sizes, percent), np.zeros(len(keys), bool)
+    labels = _Labels(table["rep"].to_pylist(), table["rep"].to_pylist())
+    while True:
+        size = np.bincount(labels.of)
+        main = labels.of[int(np.argmax(size[labels.of] * len(keys) + np.argsort(np.argsort(sizes))))]
+        grown = False
+        for i in np.flatnonzero(~done & (labels.of != main)):
+            if labels.of[i] == main:
                 continue
-            if n < scans:
-                links = block.scan(q_keys[i], int(q_sizes[i])).tolist()
-            else:
-                roots = np.array([union.find(j) for j in range(len(reps))]) if roots is None else roots
-                links = block.search(q_keys[i], int(q_sizes[i]), roots != own)
-            for j in links:
-                if union.join(shift + i, j):
-                    found.append((names[shift + i], names[j]))
-                    roots = None
-        scans = 0
-    return _edges(found)
+            near = next(block.linked(keys[i], int(sizes[i]), labels.of == main), None)
+            if near is not None:
+                labels.join(near, i)
+                continue
+            done[i] = True
+            for j in block.linked(keys[i], int(sizes[i]), (labels.of != main) & (labels.of != labels.of[i])):
+                labels.join(i, j)
+            if grown := (labels.of == labels.of[i]).sum() > (labels.of == main).sum():
+                break
+        if not grown:
+            return labels.edges()
+
+
+def join_shard(index: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
+    """Edges that join the components of queries with others among the sets of a shard; both tables: rep, n, keys, comp,
+    main. Rows of equal comp are joined already; of main, the cluster's largest component, one link is enough."""
+    keys, sizes = _sets(index)
+    q_keys, q_sizes = _sets(queries)
+    block, n = Block(keys, sizes, percent), len(keys)
+    labels = _Labels(index["rep"].to_pylist() + queries["rep"].to_pylist(), index["comp"].to_pylist() + queries["comp"].to_pylist())
+    of_main = np.flatnonzero(np.array(index["main"].to_pylist()) == np.array(index["comp"].to_pylist()))
+    for i in range(len(q_keys)):
+        main = labels.of[:n] == labels.of[of_main[0]] if len(of_main) else np.zeros(n, bool)
+        if len(of_main) and labels.of[n + i] != labels.of[of_main[0]]:
+            near = next(block.linked(q_keys[i], int(q_sizes[i]), main), None)
+            if near is not None:
+                labels.join(near, n + i)
+        for j in block.linked(q_keys[i], int(q_sizes[i]), ~main & (labels.of[:n] != labels.of[n + i])):
+            labels.join(n + i, j)
+    return labels.edges()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, block_sets: int = 2000) -> DataFrame:
@@ -276,14 +269,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")))
     wide = some.select("doc_id", "d1", "d2", "n", "keys").join(members.join(chosen, "rep"), is_rep).dropDuplicates(["doc_id", "d1", "d2"])
     members = materialize(wide.select("rep", "cluster", "shards", "shard", "n", "keys"), "members")
+    discard(posts, clusters)
     release(spark)
 
     def within(key: tuple, table: pa.Table) -> pa.Table:
-        own = table.append_column("comp", table["rep"])
-        return join_block(own, own, percent, itself=True)
+        return join_block(table, percent)
 
     def across(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
-        return join_block(index, queries, percent)
+        return join_shard(index, queries, percent)
 
     edges = materialize(members.groupBy("cluster", "shard").applyInArrow(within, EDGES), "links")
     large = members.where("shards > 1")
@@ -292,27 +285,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while not large.isEmpty():
         found = materialize(found, "found")
         placed = large.join(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        placed = materialize(placed, "placed")
         counts = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
         main = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"))
-        todo = placed.join(main, "cluster").where("comp != main")
+        placed = materialize(placed.join(main, "cluster"), "placed")
+        todo = placed.where("comp != main")
         if searched is None:  # and of each shard one set of every component that is the largest somewhere
             heads = placed.groupBy("cluster", "shard", "comp").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).groupBy("cluster", "shard").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("rep"))
-            todo = todo.unionByName(placed.join(heads.select("rep"), "rep", "left_semi").join(main, "cluster")).dropDuplicates(["rep", "keys"])
+            todo = todo.unionByName(placed.join(heads.select("rep"), "rep", "left_semi")).dropDuplicates(["rep", "keys"])
         else:
             todo = todo.join(searched, "rep", "left_anti")
-        todo = materialize(todo.select("rep", "cluster", "shards", "n", "keys", "comp"), "todo")
+        todo = materialize(todo.select("rep", "cluster", "shards", "n", "keys", "comp", "main"), "todo")
         if todo.isEmpty():
+            discard(placed, todo)
             break
-        searched = todo.select("rep") if searched is None else materialize(searched.unionByName(todo.select("rep")), "searched")
+        before = searched
+        searched = materialize(todo.select("rep") if before is None else before.unionByName(todo.select("rep")), "searched")
         # queries of a cluster go in batches, each to every shard, so a task holds a shard and a batch
-        asked = todo.withColumn("batches", F.ceil(F.count("*").over(_by("cluster")) / block_sets)).withColumn("batch", F.pmod(F.xxhash64("rep", F.lit("batch")), F.col("batches")))
+        asked = todo.withColumn("batches", F.ceil(F.count("*").over(Window.partitionBy("cluster")) / block_sets)).withColumn("batch", F.pmod(F.xxhash64("rep", F.lit("batch")), F.col("batches")))
         n_batches = asked.select("cluster", "batches").distinct()
         index = placed.join(n_batches, "cluster").withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)))
         queries = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-        cols = ["cluster", "shard", "batch", "rep", "n", "keys", "comp"]
+        cols = ["cluster", "shard", "batch", "rep", "n", "keys", "comp", "main"]
         more = index.select(cols).groupBy("cluster", "shard", "batch").cogroup(queries.select(cols).groupBy("cluster", "shard", "batch")).applyInArrow(across, EDGES)
-        edges = materialize(edges.unionByName(more), "links")
+        last, edges = edges, materialize(edges.unionByName(more), "links")
+        discard(last, placed, todo, found, *([] if before is None else [before]))
         found = connected_components(edges)
 
     labels = found.select(F.col("node").alias("rep"), "component")
@@ -329,8 +325,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pick = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != F.lit(int(_NULL)), F.col("component")).alias("component_id")]
     return alone.unionByName(easy.select(pick)).unionByName(rest.select(pick))
 
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, scratch
 
 END = "\r\n\r\n"
 MAGIC = b"WARC/1.1\r\n"
@@ -196,9 +196,7 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> Dat
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0) -> DataFrame:
     """Write the pages as archives into the shared folder and read them back."""
-    import uuid
-
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/lexirank/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_warc(pages, path, id_col, url_col, html_col, min_payload)
     return read_warc(spark, path)

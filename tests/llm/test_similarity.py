@@ -5,10 +5,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexirank.llm import jaccard_join as j
 from lexirank.llm.components import connected_components
-from lexirank.llm.counting import answers, parts, totals, unpack
+from lexirank.llm.common import dealt
+from lexirank.llm.counting import FRAMES, STEPS, Butterfly, answers, slot_bits
 from lexirank.llm.substring_dedup import remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,20 +73,59 @@ def test_empty(spark):
     assert j.near_duplicates(docs).count() == 0 and remove_repeats(docs).count() == 0
 
 
-@pytest.mark.parametrize("heap_posts", [0, 1 << 30])
-def test_divide_skip_against_counting(monkeypatch, heap_posts):
-    monkeypatch.setattr(j, "HEAP_POSTS", heap_posts)
-    rng = np.random.default_rng(0)
+def some_sets(seed, n):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 1 << 60, 90).astype(np.uint64)
     keys, sizes = [], []
-    for _ in range(150):
+    for _ in range(n):
         own = base[rng.random(90) < rng.choice([0.6, 0.9, 0.97])]
         keys.append(np.sort(np.concatenate([own, rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)])))
         sizes.append(len(keys[-1]) + int(rng.integers(0, 3)))
-    block = j.Block(keys, np.array(sizes), 80)
-    for key, size in zip(keys, sizes, strict=True):
-        want = [i for i, (k, n) in enumerate(zip(keys, sizes, strict=True)) if 100 * (o := len(np.intersect1d(key, k))) >= 80 * (size + n - o)]
-        assert sorted(block.search(key, size, np.ones(len(keys), bool))) == want == block.scan(key, size).tolist()
+    links = [[j for j in range(n) if j != i and 100 * (o := len(np.intersect1d(keys[i], keys[j]))) >= 80 * (sizes[i] + sizes[j] - o)] for i in range(n)]
+    return keys, np.array(sizes), links
+
+
+def closed(n, pairs):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_divide_skip_against_counting():
+    keys, sizes, links = some_sets(0, 150)
+    block, rng = j.Block(keys, sizes, 80), np.random.default_rng(1)
+    for i, (key, size) in enumerate(zip(keys, sizes, strict=True)):
+        allowed = rng.random(len(keys)) < rng.choice([0.2, 0.9, 1.1])
+        allowed[i] = False
+        assert list(block.linked(key, int(size), allowed)) == [x for x in links[i] if allowed[x]]
+
+
+def as_table(keys, sizes, names, **more):
+    return pa.table({"rep": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int64()), "keys": pa.array([k.tobytes() for k in keys], pa.binary()), **more})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_block_joins_what_links_join(seed):
+    keys, sizes, links = some_sets(seed, 60 + 30 * seed)
+    n = len(keys)
+    got = j.join_block(as_table(keys, sizes, list(range(n))), 80)
+    pairs = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert closed(n, pairs) == closed(n, [(a, b) for a in range(n) for b in links[a]]) and all(b in links[a] for a, b in pairs)
+    # two shards, the first joined already: queries of the second find what joins them to the first
+    half, comp = n // 2, closed(n, [(a, b) for a in range(n) for b in links[a] if (a < n // 2) == (b < n // 2)])
+    main = max(comp, key=comp.count)
+    part = lambda r: as_table([keys[i] for i in r], sizes[list(r)], list(r), comp=pa.array([comp[i] for i in r], pa.int64()), main=pa.array([main] * len(r), pa.int64()))
+    more = j.join_shard(part(range(half)), part(range(half, n)), 80)
+    both = [(i, comp[i]) for i in range(n)] + list(zip(more["a"].to_pylist(), more["b"].to_pylist(), strict=True))
+    assert closed(n, both) == closed(n, [(a, b) for a in range(n) for b in links[a]])
 
 
 def test_connected_components(spark):
@@ -104,17 +145,52 @@ def test_connected_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
-def test_sketch_exchange():
-    rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
-    counts = rng.integers(1, 200, len(keys))
-    sent = pa.concat_tables([parts(7, (keys,), counts, 40, 32), parts(8, (keys[::2],), counts[::2], 40, 32)])
-    assert (np.concatenate([unpack(p)[0][0] for p in sent.filter(pa.array([c == 7 for c in sent["chunk"].to_pylist()]))["payload"].to_pylist()]) == keys).all()
-    back = pa.concat_tables([totals((s,), sent.filter(pa.array([x == s for x in sent["slice"].to_pylist()]))) for s in sorted(set(sent["slice"].to_pylist()))])
-    want = counts.copy()
-    want[::2] *= 2
-    mine = lambda c: answers(back.filter(pa.array([x == c for x in back["chunk"].to_pylist()])))
-    assert (mine(7) == np.minimum(want, 255)).all() and (mine(8) == np.minimum(want[::2], 255)).all()
+@pytest.mark.parametrize(("chunks", "fan", "levels"), [(5, 512, 1), (12, 4, 2), (60, 4, 3)])
+def test_butterfly_counts(spark, chunks, fan, levels):
+    """Totals that come back through any number of levels are those of the whole corpus, for one and for two keys."""
+    grid = Butterfly.of(chunks, fan)
+    assert grid.levels == levels and grid.nodes >= chunks
+    item = lambda node, i: (node * 7919 + i * i) % 997 * 0x9E3779B97F4A7C15 % (1 << 64)
+    items = {c: Counter(item(c, i) for i in range(40 + c)) for c in range(grid.nodes)}
+    whole = sum(items.values(), Counter())
+
+    def arrays(c, bits):
+        keys = np.array(sorted(items[c]), np.uint64)
+        counts = np.array([items[c][int(k)] for k in keys])
+        return (keys >> np.uint64(64 - bits), keys)[: 1 if bits == 64 else 2], counts, keys
+
+    for bits in (64, 40):
+
+        def send(key, table):
+            keys, counts, _ = arrays(key[0].as_py(), bits)
+            return grid.frames(key[0].as_py(), 0, keys, counts, bits)
+
+        def check(key, table, back):
+            want = [int(np.ceil(STEPS * np.log2(whole[int(k)]))) for k in arrays(key[0].as_py(), bits)[2]]
+            return pa.table({"ok": [answers(back).tolist() == want]})
+
+        nodes = spark.range(grid.nodes).withColumnRenamed("id", "chunk").groupBy("chunk")
+        sent = nodes.applyInArrow(send, FRAMES)
+        got = nodes.cogroup(grid.count(sent, bits).groupBy("receiver")).applyInArrow(check, "ok boolean").collect()
+        assert len(got) == grid.nodes and all(r["ok"] for r in got)
+        assert sent.count() <= grid.nodes * grid.fan
+
+
+def test_frames_grow_as_the_input_does():
+    """Frames a chunk sends, all levels together, at 1, 30 and 100,000 GB in chunks of 4 MB (of files)."""
+    each = [(g := Butterfly.of(250 * gb)).fan * g.levels for gb in (1, 30, 100_000)]
+    assert max(each) <= 3 * 512 and Butterfly.of(250 * 100_000).nodes < 1.02 * 250 * 100_000
+    assert slot_bits(0) == 32 and slot_bits(10**14) <= 56
+
+
+def test_repeated_rows(spark):
+    """A hundred thousand repeated rows are spread over the chunks, are one class, and repeat each other's windows."""
+    text = " ".join(f"t{i}" for i in range(40))
+    docs = spark.range(100_000, numPartitions=4).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(8, "alone " * 50), (9, text + " and one")], "doc_id long, text string"))
+    assert max(r["count"] for r in dealt(docs, "doc_id", "text", 32).groupBy("chunk").count().collect()) < 4_000
+    assert Counter(map(tuple, j.near_duplicates(docs).groupBy("doc_id", "n_shingles", "component_id").count().collect())) == Counter([(7, 36, 7, 100_000), (8, 1, 8, 1), (9, 38, 7, 1)])
+    assert Counter(map(tuple, remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect())) == Counter([(7, 40, 40, "", 100_000), (8, 50, 50, "", 1), (9, 42, 40, "and one", 1)])
 
 
 def without_repeats(rows, k):
