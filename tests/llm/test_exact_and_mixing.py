@@ -91,18 +91,77 @@ def test_mixture(spark, seed):
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_permutation(spark, n):
-    df = mixing.permuted(spark.range(n).withColumnRenamed("id", "x"), "x", F.lit(n).cast("long"), F.lit("k"), 3)
-    got = [r["x"] for r in df.collect()]
-    assert sorted(got) == list(range(n)) and (n < 1000 or got != list(range(n)))
-
-
-def test_draws_are_the_deck(spark):
-    plan = spark.createDataFrame([(0, 10, 25), (1, 4, 12), (2, 1, 0)], "src int, n_blocks long, n_slots long")
-    drawn = mixing.draws(plan, shard_blocks=8)
-    assert {r["src"]: r["n"] for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()} == {0: 25, 1: 12}
-    assert max(r["n"] for r in drawn.groupBy("shard").agg(F.sum("n").alias("n")).collect()) <= 8
-    times = {(r["src"], r["block"]): r["count"] for r in mixing.slots(drawn, plan).groupBy("src", "block").count().collect()}
-    assert all(v in (2, 3) for (s, _), v in times.items() if s == 0) and all(times[1, b] == 3 for b in range(4))
+    size = F.lit(n).cast("long")
+    about = mixing.points(size, F.lit("k"), 3)
+    df = spark.range(n).withColumn("y", mixing.permuted(F.col("id"), size, about, 3))
+    df = df.withColumn("back", mixing.permuted(F.col("y"), size, F.reverse(about), 3))
+    got = df.orderBy("id").collect()
+    assert sorted(r["y"] for r in got) == list(range(n)) and (n < 1000 or [r["y"] for r in got] != list(range(n)))
+    assert all(r["back"] == r["id"] for r in got)
+
+
+def spark_hash(seed, *values):
+    """xxhash64 of a long and of ints."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v, kind in values:
+        h = xxhash.xxh64_intdigest(struct.pack(kind, v), seed=h)
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+PLAN = [(0, 10, 25), (1, 4, 12), (2, 1, 0), (3, 9000, 20_000)]
+
+
+def test_draws_against_a_plain_version(spark):
+    plan = spark.createDataFrame(PLAN, "src int, n_blocks long, n_slots long")
+    got = {(r["shard"], r["src"]): r["n"] for r in mixing.draws(plan, shard_blocks=100, seed=5).collect()}
+    total = sum(p[2] for p in PLAN)
+    want = Counter()
+    for shard in range(-(-total // 100)):
+        for i in range(1, min(100, total - shard * 100) + 1):
+            mark, at = spark_hash(5, (shard, "<q"), (i, "<i")) % total, 0
+            for src, _, n in PLAN:
+                want[shard, src] += at <= mark < at + n
+                at += n
+    assert got == dict(want) and all(sum(got[h, s] for s in range(4)) == min(100, total - h * 100) for h in range(-(-total // 100)))
+
+
+def test_slots_meet_the_plan(spark):
+    """Stretched to the plan, the shards' slots are all slots of a source once, and close to what was drawn."""
+    plan = spark.createDataFrame(PLAN, "src int, n_blocks long, n_slots long")
+    drawn = {(r["shard"], r["src"]): r["n"] for r in mixing.draws(plan, shard_blocks=100).collect()}
+    rows = mixing.shard_slots(mixing.draws(plan, shard_blocks=100), plan).collect()
+    for src, _, n in PLAN:
+        runs = sorted((r["first"], r["upto"]) for r in rows if r["src"] == src and r["upto"] > r["first"])
+        assert [x for a, b in runs for x in range(a, b)] == list(range(n))
+    assert all(abs(r["upto"] - r["first"] - drawn[r["shard"], r["src"]]) <= 2 for r in rows if r["src"] == 3)
+    blocks = Counter((r["src"], r["block"]) for r in mixing.mixed_blocks(plan, shard_blocks=100).collect())
+    assert all(blocks[0, b] in (2, 3) for b in range(10)) and all(blocks[1, b] == 3 for b in range(4)) and sum(blocks.values()) == sum(p[2] for p in PLAN)
+    assert {blocks[3, b] for b in range(9000)} == {2, 3}
+
+
+def test_blocks_are_what_documents_give(spark):
+    """Words by the mix's blocks are the words that mix_sources takes of each document, and repeated rows share alike."""
+    rows = [(i, " ".join(["w"] * (13 * i % 200)), "ab"[i % 2]) for i in range(120)] + [(500, "four words of text", "b")] * 70_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs).collect()
+    assert len(out) == len(rows) and all(x["taken"] <= 3 * x["size"] for x in out)
+    for s in "ab":
+        own = [x for x in out if x["source"] == s]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 64
+
+
+def test_offsets(spark):
+    rows = [(s, i, (i * 7 + s) % 11) for s in range(2) for i in range(0, 30_000, 3)]
+    got = mixing.ahead(spark.createDataFrame(rows, "s int, i long, v long"), ["s"], "i", "v", "at").collect()
+    at = {}
+    for r in sorted(got, key=lambda r: (r["s"], r["i"])):
+        assert r["at"] == at.get(r["s"], 0)
+        at[r["s"]] = r["at"] + r["v"]
 
 
 def test_mixing_is_native(spark):
