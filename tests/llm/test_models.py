@@ -72,13 +72,74 @@ def test_quality_cases(spark, odd):
     untrained = quality.train(odd, labels.where("false"), F.lit(True))
     assert {round(r["_s"], 9) for r in quality.apply(odd, untrained, score_col="_s").collect()} == {0.5}
     assert quality.apply(odd.limit(0), model, score_col="_s").count() == 0
+    same = quality.apply(odd, model)
+    assert same.columns.count("score") == 1 and all(isinstance(r["score"], float) for r in same.collect())
 
 
-def test_nnpu_separates():
+def some_rows(seed, n, shift):
+    rng = np.random.default_rng(seed)
+    return np.column_stack([rng.normal(shift, 1, (n, 3)), np.ones(n)])
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.6, 0.95])
+def test_risk_and_its_slope_by_brute_force(prior):
+    """The risk by its definition, and its gradient and curvature by differences, where the negative part is above 0 and
+    where it is below."""
+    p, u, ridge, signs = some_rows(0, 40, 1.0), some_rows(1, 70, 0.2), 0.01, set()
+    loss = lambda z, y: math.log1p(math.exp(-z if y else z))
+    parts = lambda t: (sum(loss(z, 1) for z in p @ t) / len(p), sum(loss(z, 0) for z in p @ t) / len(p), sum(loss(z, 0) for z in u @ t) / len(u))
+    penalty = lambda t: ridge / 2 * sum(x * x for x in t[:-1])
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        theta = rng.normal(0, 1.5, 4)
+        value, negative, g, h = quality.risk(quality.unlabelled_sums(u, theta), p, theta, prior, ridge)
+        a, b, c = parts(theta)
+        assert negative == pytest.approx(c - prior * b) and value == pytest.approx(prior * a + max(0, c - prior * b) + penalty(theta))
+        signs.add(negative > 0)
+        falls = (lambda t: (x := parts(t))[0] * prior + x[2] - prior * x[1] + penalty(t)) if negative >= 0 else (lambda t: -((x := parts(t))[2] - prior * x[1]) + penalty(t))
+        steps = np.eye(4) * 1e-5
+        assert g == pytest.approx([(falls(theta + e) - falls(theta - e)) / 2e-5 for e in steps], abs=1e-5)
+        if negative >= 0:  # the unlabelled rows' loss alone is curved: those of positives cancel
+            def slope(t):
+                return quality.unlabelled_sums(u, t)[2:6] / len(u)
+
+            want = np.array([(slope(theta + e) - slope(theta - e)) / 2e-5 for e in steps]) + ridge * np.eye(4)
+            assert h == pytest.approx(want, abs=1e-5)
+    assert signs == {True, False} or prior < 0.95
+
+
+def test_nnpu_separates_and_never_goes_below_a_search():
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(1, 0.3, (400, len(quality.FEATURES))), rng.normal(-1, 0.3, (400, len(quality.FEATURES)))
-    model = quality.fit_nnpu(good[:200], np.concatenate([good[200:], bad[:200]]), 0.5)
-    assert (quality.score(model, good) > 0.5).mean() > 0.95 and (quality.score(model, bad[200:]) < 0.5).mean() > 0.95
+    good, bad = rng.normal(1, 0.3, (400, 2)), rng.normal(-1, 0.3, (400, 2))
+    one = lambda x: np.column_stack([x, np.ones(len(x))])
+    p, u = one(good[:200]), one(np.concatenate([good[200:], bad[:200]]))
+    sums = lambda t: quality.unlabelled_sums(u, t)
+    theta = quality.fit_nnpu(sums, p, 0.5, ridge=1e-3)
+    assert (one(good) @ theta > 0).mean() > 0.95 and (one(bad[200:]) @ theta < 0).mean() > 0.95
+    least = min(quality.risk(sums(t), p, t, 0.5, 1e-3)[0] for t in rng.normal(0, 4, (3000, 3)))
+    assert quality.risk(sums(theta), p, theta, 0.5, 1e-3)[0] <= least + 1e-2
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_from_positives_and_unlabelled(share):
+    rng, bins = np.random.default_rng(3), 500
+    at = lambda good, n: np.bincount((np.clip(rng.beta(8, 2, n) if good else rng.beta(2, 6, n), 0, 0.999) * bins).astype(int), minlength=bins)
+    n = 20_000
+    unlabelled = at(True, int(share * n)) + at(False, n - int(share * n))
+    assert quality.prior_bound(at(True, 4000), unlabelled) == pytest.approx(share, abs=0.04)
+    assert quality.prior_bound(np.zeros(bins), unlabelled) == 0.5
+
+
+def test_no_negative_label_is_read(spark):
+    """Labels of 0 change nothing, and sums in the tasks are those of all rows at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a = quality.train(docs, labels, F.lit(True))
+    b = quality.train(docs, labels.where("quality = 1"), F.lit(True))
+    assert a["prior"] == b["prior"] and (a["theta"] == b["theta"]).all()
+    x = np.random.default_rng(0).normal(size=(50, len(quality.FEATURES)))
+    table = spark.createDataFrame([(v.tolist(),) for v in x], "x array<float>").repartition(5)
+    assert quality._added(table, lambda v: v.sum(axis=0)) == pytest.approx(x.sum(axis=0), abs=1e-4)
 
 
 def distance(a, b):
