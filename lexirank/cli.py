@@ -46,8 +46,10 @@ def report(index: Index, queries, qrels) -> None:
     print(f"best: k1={best['k1']} b={best['b']} MAP={best['map']:.4f}")
     for model in RANKERS:
         print(model)
-        ev.report(ev.evaluate(index, queries, qrels, model)).show(1000, truncate=False)
-    ev.compare(index, queries, qrels).orderBy("place").show(truncate=False)
+        for row in ev.report(ev.evaluate(index, queries, qrels, model), queries).toLocalIterator():
+            print(f"{row['query_id']:>12}  {row['ap']:.4f}  {row['p5']:.4f}  {row['p10']:.4f}  {row['ndcg10']:.4f}  {row['query']}")
+    for row in ev.compare(index, queries, qrels).orderBy("place").collect():  # a row per model
+        print(f"{row['model']:>14}  {row['map']:.4f}  {row['mean_p5']:.4f}  {row['mean_p10']:.4f}  {row['mean_ndcg10']:.4f}{'  BEST' if row['best'] else ''}")
 
 
 def menu(spark: SparkSession, index: Index, lookup: dict[str, str]) -> None:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import difflib
 from collections.abc import Collection
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import porter
 from .stopwords import english
@@ -23,10 +26,43 @@ QUESTION_WORDS = (
 ).split()
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stem_all(words: pd.Series) -> pd.Series:
-    """Stems of arrays of words; a worker keeps the last stems it has met."""
-    return words.map(lambda a: None if a is None else [porter.stem(w) for w in a])
+def _lists(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets of the lists of an array and their words end to end; a null list is an empty one."""
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int32), words.flatten()
+
+
+def _stemmed(flat: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """The stem of each word as a number, and the stems; each distinct word is stemmed once."""
+    known = flat.dictionary_encode()
+    found = [porter.stem(w) for w in known.dictionary.to_pylist()]
+    stems, place = np.unique(np.array(found, dtype=object), return_inverse=True) if found else (np.zeros(0, object), np.zeros(0, np.int64))
+    return place[known.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64), list(stems)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def stem_all(words: pa.Array) -> pa.Array:
+    """Stems of arrays of words; null stays null."""
+    offsets, flat = _lists(words)
+    codes, stems = _stemmed(flat)
+    out = pa.array(stems, pa.string()).take(pa.array(codes)) if len(codes) else pa.array([], pa.string())
+    return pa.ListArray.from_arrays(pa.array(offsets), out, mask=words.is_null())
+
+
+BAG = ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType()), StructField("first_pos", IntegerType())]))
+
+
+@F.arrow_udf(BAG)
+def stem_bag(words: pa.Array) -> pa.Array:
+    """For each array of words its stems, how often each occurs, and where first."""
+    offsets, flat = _lists(words)
+    codes, stems = _stemmed(flat)
+    doc = np.repeat(np.arange(len(words)), np.diff(offsets))
+    _, first, tf = np.unique(doc * max(1, len(stems)) + codes, return_index=True, return_counts=True)
+    term = pa.array(stems, pa.string()).take(pa.array(codes[first])) if len(first) else pa.array([], pa.string())
+    rows = pa.StructArray.from_arrays([term, pa.array(tf, pa.int64()), pa.array(first - offsets[doc[first]], pa.int32())], ["term", "tf", "first_pos"])
+    per = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(words)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(per), rows)
 
 
 def raw_tokens(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from . import rank as r
 #: Characters of a document that are cut into segments for display.
 MAX_CHARS = 120_000
 RRF_DEPTH = 400
+#: Fixed value: what is said of a term that the language model passes over.
+NOT_IN_DOC = "Retriever skips documents without postings for this term."
 #: Titles of the models.
 TITLES = {
     "bm25": "BM25 (Okapi)", "vsm": "Vector space model (TF-IDF cosine)", "bim": "Binary independence model", "lm_dirichlet": "Language model (Dirichlet smoothing)",
@@ -40,7 +43,7 @@ def explain_terms(index: Index, terms: DataFrame, pairs: DataFrame, model: str)
     The contributions of a pair add up to its score, for vector models after division by both lengths."""
     own = pairs.select("query_id", "doc_id").distinct()
     terms = terms.join(own.select("query_id").distinct(), "query_id", "left_semi")
-    near = index.docs.select("doc_id", "pos").join(own, "doc_id")  # contributions of the asked documents only
+    near = index.docs.select("doc_id", "pos").join(own, "doc_id")
 
     def of(parts: DataFrame, *cols: str) -> DataFrame:
         return parts.join(near.select("query_id", "pos"), ["query_id", "pos"], "left_semi").select("query_id", "pos", "term", *cols, "contribution")
@@ -83,21 +86,19 @@ def explain_fusion(index: Index, terms: DataFrame, pairs: DataFrame, depth: int
     return out.select("query_id", "doc_id", F.col("name").alias("ranker"), "rank", F.coalesce("raw", F.lit(0.0)).alias("raw_score"), F.coalesce("component", F.lit(0.0)).alias("rrf_component"))
 
 
-def rank_of(ranking: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rank and score of each pair in a ranking; null and 0 where it is not in it."""
-    return pairs.join(ranking.select("query_id", "doc_id", "rank", "score"), ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
+def document_text(index: Index) -> DataFrame:
+    """(doc_id, text): texts as they are cut into segments for display, MAX_CHARS characters at most."""
+    return index.docs.select("doc_id", F.substring("text", 1, MAX_CHARS).alias("text"))
 
 
-def segment_rows(texts: DataFrame, contributing: DataFrame, id_col: str) -> DataFrame:
-    """(id, ordinal, text, word, stem, hit) for (id, text), where contributing has (id, stems). The text is cut to
-    MAX_CHARS. A word's stem is null if it is a stop word or too short; hit: the stem is among the id's."""
-    cut = texts.select(F.col(id_col), F.posexplode(segments(F.substring(F.col("text"), 1, MAX_CHARS))).alias("ordinal", "s"))
-    cut = cut.select(id_col, "ordinal", "s.text", "s.word")
-    chunks = cut.where("word").select(F.lower("text").alias("chunk")).distinct()
-    stemmed = chunks.select("chunk", F.try_element_at(stems(F.col("chunk")), F.lit(1)).alias("stem"))
-    out = cut.withColumn("chunk", F.when(F.col("word"), F.lower("text"))).join(stemmed, "chunk", "left").join(contributing, id_col, "left")
+def segment_rows(texts: DataFrame, contributing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ordinal, text, word, stem, hit) for (keys, text), where contributing has (keys, stems). A word's stem is null
+    if it is a stop word or too short; hit: the stem is among the keys' stems."""
+    keys = list(keys)
+    cut = texts.join(contributing, keys, "left").select(*keys, "stems", F.posexplode(segments(F.col("text"))).alias("ordinal", "s"))
+    cut = cut.select(*keys, "ordinal", "s.text", "s.word", "stems").withColumn("stem", F.when(F.col("word"), F.try_element_at(stems(F.lower("text")), F.lit(1))))
     hit = F.coalesce(F.array_contains("stems", F.col("stem")), F.lit(False))
-    return out.select(id_col, "ordinal", "text", "word", "stem", hit.alias("hit"))
+    return cut.select(*keys, "ordinal", "text", "word", "stem", hit.alias("hit"))
 
 
 def build_explanation(index: Index, query: str, doc_id: str, model: str) -> dict[str, Any]:
@@ -122,9 +123,14 @@ def build_explanation(index: Index, query: str, doc_id: str, model: str) -> dict
         matched = [] if doc is None else [x["term"] for x in explain_terms(index, terms, pairs, "bm25").where("status = 'matched'").select("term").collect()]
     else:
         if model == "rm3":
-            feedback = r.rm3_feedback(index, terms).orderBy("rank").collect()
-            if not feedback:
+            first = r.first_pass(index, terms, 10)
+            if first.isEmpty():
                 return {"error": "no_pass1"}
+            feedback = r.rm3_feedback(index, terms, first=first).orderBy("rank").collect()
+            if not feedback:
+                return {"error": "zero_mass"}
+            if not tokens:
+                return {"error": "empty_query"}
             out["feedback_docs"] = [{"doc_id": f["doc_id"], "p_feedback": round(f["p"], 8)} for f in feedback]
         rows = [x.asDict() for x in explain_terms(index, terms, pairs, model).orderBy("term").collect()]
         total = sum(x["contribution"] for x in rows)
@@ -140,14 +146,27 @@ def build_explanation(index: Index, query: str, doc_id: str, model: str) -> dict
             out["constants"] |= {"alpha": 0.4, "beta": 0.6, "fb_docs": 15, "fb_terms": 25, "pass1_bm25_docs": [x["doc_id"] for x in first]}
         if model == "rm3":
             out["constants"] |= {"lambda": 0.5, "fb_docs": 10, "fb_terms": 20}
-        out |= {"terms": [{k: v for k, v in x.items() if k not in ("query_id", "doc_id", "doc_len", "doc_norm") and v is not None} for x in rows], "total_score": total}
+        shown = [{k: v for k, v in x.items() if k not in ("query_id", "doc_id", "doc_len", "doc_norm") and v is not None} for x in rows]
+        if model == "lm_dirichlet":
+            shown = [x | {"note": NOT_IN_DOC} if x["status"] == "missing_in_doc" else x for x in shown]
+        out |= {"terms": shown, "total_score": total}
         matched = [x["term"] for x in rows if x["status"] == "matched"]
     text = doc["text"] if doc else ""
-    both = spark.createDataFrame([("query", query), ("doc", text)], "id string, text string")
+    both = spark.createDataFrame([("query", query), ("doc", text[:MAX_CHARS])], "id string, text string")
     hits = spark.createDataFrame([(i, sorted(set(matched))) for i in ("query", "doc")], "id string, stems array<string>")
-    cut = segment_rows(both, hits, "id").orderBy("id", "ordinal").collect()
+    cut = segment_rows(both, hits, ["id"]).orderBy("id", "ordinal").collect()
     out["contributing_stems"] = sorted(set(matched))
     out["query_segments"] = [{"text": s["text"], "word": True, "stem": s["stem"], "indexed": s["stem"] is not None, "contributing": s["hit"]} if s["word"] else {"text": s["text"], "word": False} for s in cut if s["id"] == "query"]
     out["document_truncated"] = len(text) > MAX_CHARS
     out["document_segments"] = [{"text": s["text"], "word": s["word"], "hit": s["hit"]} for s in cut if s["id"] == "doc"]
     return out
+
+
+def explain_request(index: Index, q: str | None, doc_id: str | None, model: str | None = None) -> tuple[dict[str, Any], int]:
+    """build_explanation as a payload and a status: 400 where something is missing or the model is unknown, 404 for an
+    unknown document, else 200, also with an error of the feedback pass."""
+    q, doc_id = (q or "").strip(), (doc_id or "").strip()
+    if not q or not doc_id:
+        return {"error": "missing_q_or_doc"}, 400
+    out = build_explanation(index, q, doc_id, model or "bm25")
+    return out, {"unknown_model": 400, "unknown_doc": 404}.get(out.get("error", ""), 200)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze
-from ..plans.index import Index
+from ..plans.index import Index, part
 from ..storage import materialize
 
 Ranker = Callable[[Index, DataFrame, int], DataFrame]
@@ -111,11 +111,32 @@ def lm_dirichlet(index: Index, terms: DataFrame, depth: int) -> DataFrame:
 # Rocchio feedback
 
 
-def rocchio_expansions(index: Index, terms: DataFrame, fb_docs: int = 15, fb_terms: int = 25, beta: float = 0.6) -> DataFrame:
+def feedback_terms(index: Index, feedback: DataFrame) -> DataFrame:
+    """feedback, with pos and rank, by term: tf, first_pos, dl. The forward table's folders without a feedback document
+    are not read: the filter on rank is what makes Spark prune them by the join."""
+    asked = feedback.where("rank >= 1").withColumn("part", part(F.col("pos")))
+    held = index.forward.join(F.broadcast(asked) if _few(feedback) else asked, ["part", "pos"])
+    return held.select(*feedback.columns, "dl", F.inline("bag"))
+
+
+def _few(written: DataFrame, most: int = 500_000) -> bool:
+    """Whether a written table of narrow rows is small enough to go to all tasks."""
+    return written.count() <= most
+
+
+def first_pass(index: Index, terms: DataFrame, depth: int) -> DataFrame:
+    """BM25's first documents, written, as feedback reads them twice and fusion three times."""
+    return materialize(bm25(index, terms, depth), "feedback")
+
+
+def rocchio_expansions(index: Index, terms: DataFrame, fb_docs: int = 15, fb_terms: int = 25, beta: float = 0.6, first: DataFrame | None = None) -> DataFrame:
     """(query_id, term, weight): the strongest terms of the feedback centroid that the query does not have. The centroid
-    divides by fb_docs even if fewer came back; ties go to the term met first in the feedback documents."""
-    feedback = materialize(bm25(index, terms, fb_docs).select("query_id", "pos", "rank"), "feedback")
-    met = index.postings.join(feedback, "pos").groupBy("query_id", "term").agg(F.sum("tfidf").alias("mass"), F.min(F.struct("rank", "first_pos")).alias("met"))
+    divides by fb_docs even if fewer came back; ties go to the term met first in the feedback documents. first: BM25's
+    ranking, if it is there already."""
+    feedback = first_pass(index, terms, fb_docs) if first is None else first
+    held = feedback_terms(index, feedback.where(F.col("rank") <= fb_docs).select("query_id", "pos", "rank"))
+    tfidf = (F.log(F.col("tf").cast("double")) + 1) * F.col("idf_smooth")
+    met = held.join(index.terms.select("term", "idf_smooth"), "term").groupBy("query_id", "term").agg(F.sum(tfidf).alias("mass"), F.min(F.struct("rank", "first_pos")).alias("met"))
     new = met.join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti").withColumn("weight", F.col("mass") / fb_docs * beta)
     order = Window.partitionBy("query_id").orderBy(F.round("weight", 12).desc(), "met")
     return new.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fb_terms).select("query_id", "term", "weight", "place")
@@ -135,18 +156,19 @@ def rocchio(index: Index, terms: DataFrame, depth: int, fb_docs: int = 15, fb_te
 # Relevance model
 
 
-def rm3_feedback(index: Index, terms: DataFrame, fb_docs: int = 10) -> DataFrame:
+def rm3_feedback(index: Index, terms: DataFrame, fb_docs: int = 10, first: DataFrame | None = None) -> DataFrame:
     """(query_id, pos, doc_id, rank, p): the first documents by BM25, their scores as shares."""
-    first = bm25(index, terms, fb_docs)
-    return first.withColumn("mass", F.sum("score").over(Window.partitionBy("query_id"))).where("mass > 0").select("query_id", "pos", "doc_id", "rank", (F.col("score") / F.col("mass")).alias("p"))
+    head = (bm25(index, terms, fb_docs) if first is None else first).where(F.col("rank") <= fb_docs)
+    return head.withColumn("mass", F.sum("score").over(Window.partitionBy("query_id"))).where("mass > 0").select("query_id", "pos", "doc_id", "rank", (F.col("score") / F.col("mass")).alias("p"))
 
 
-def rm3_weights(index: Index, terms: DataFrame, fb_docs: int = 10, fb_terms: int = 20, lam: float = 0.5) -> DataFrame:
+def rm3_weights(index: Index, terms: DataFrame, fb_docs: int = 10, fb_terms: int = 20, lam: float = 0.5, first: DataFrame | None = None) -> DataFrame:
     """(query_id, term, weight): the strongest terms of the mixture of the query and its feedback documents. Words
-    outside the index keep their share of the query and take a place, though they score nothing."""
-    feedback = materialize(rm3_feedback(index, terms, fb_docs), "feedback")
+    outside the index keep their share of the query and take a place, though they score nothing. first: BM25's ranking, if
+    it is there already."""
+    feedback = materialize(rm3_feedback(index, terms, fb_docs, first), "feedback")
     per_query = Window.partitionBy("query_id")
-    held = index.postings.join(feedback, "pos").join(index.terms.select("term", "p_collection"), "term").crossJoin(F.broadcast(index.corpus.select("mu")))
+    held = feedback_terms(index, feedback.select("query_id", "pos", "rank", "p")).join(index.terms.select("term", "p_collection"), "term").crossJoin(F.broadcast(index.corpus.select("mu")))
     held = held.withColumn("mass", F.col("p") * ((F.col("tf") + F.col("mu") * F.col("p_collection")) / (F.col("dl") + F.col("mu"))))
     rm1 = held.groupBy("query_id", "term").agg(F.sum("mass").alias("mass")).withColumn("rm1", F.col("mass") / F.sum("mass").over(per_query)).select("query_id", "term", "rm1")
     own = terms.join(feedback.select("query_id").distinct(), "query_id", "left_semi").withColumn("p_q", F.col("qf") / F.sum("qf").over(per_query)).select("query_id", "term", "p_q")
@@ -155,28 +177,33 @@ def rm3_weights(index: Index, terms: DataFrame, fb_docs: int = 10, fb_terms: int
     return mixed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fb_terms).drop("place")
 
 
-def rm3(index: Index, terms: DataFrame, depth: int, fb_docs: int = 10, fb_terms: int = 20, lam: float = 0.5) -> DataFrame:
-    weights = materialize(rm3_weights(index, terms, fb_docs, fb_terms, lam), "rm3")
+def rm3(index: Index, terms: DataFrame, depth: int, fb_docs: int = 10, fb_terms: int = 20, lam: float = 0.5, first: DataFrame | None = None) -> DataFrame:
+    weights = materialize(rm3_weights(index, terms, fb_docs, fb_terms, lam, first), "rm3")
     return top(_sum(bm25_parts(index, weights, "weight")), index, depth)
 
 
 # Fusion
 
 
-def rrf_parts(index: Index, terms: DataFrame, depth: int, rankers: Sequence[Ranker] | None = None, k_rrf: int = 60) -> DataFrame:
-    """(query_id, pos, doc_id, ranker, rank, raw, component): every ranker's ranking down to depth."""
-    lists = [r(index, terms, depth).withColumn("ranker", F.lit(i)) for i, r in enumerate(rankers or (bm25, vsm, rm3))]
+def rrf_parts(index: Index, terms: DataFrame, depth: int, rankers: Sequence[Ranker] | None = None, k_rrf: int = 60, fb_docs: int = 10) -> DataFrame:
+    """(query_id, pos, doc_id, ranker, rank, raw, component): every ranker's ranking down to depth. Without rankers of the
+    caller's, BM25 runs once: its ranking is also the first pass of RM3."""
+    if rankers is None:
+        first = first_pass(index, terms, max(depth, fb_docs))
+        lists = [first.where(F.col("rank") <= depth), vsm(index, terms, depth), rm3(index, terms, depth, fb_docs, first=first)]
+    else:
+        lists = [r(index, terms, depth) for r in rankers]
+    lists = [ranking.withColumn("ranker", F.lit(i)) for i, ranking in enumerate(lists)]
     return reduce(DataFrame.unionByName, lists).withColumnRenamed("score", "raw").withColumn("component", 1.0 / (k_rrf + F.col("rank")))
 
 
 def rrf(index: Index, terms: DataFrame, depth: int, rankers: Sequence[Ranker] | None = None, k_rrf: int = 60) -> DataFrame:
     """Reciprocal rank fusion of rankings twice as deep as asked for, so scores depend on depth. Components are added in
     the rankers' order, which makes sums exact; ties go to the first ranker that returned the document, then its rank."""
-    rankers = list(rankers or (bm25, vsm, rm3))
-    parts = rrf_parts(index, terms, 2 * depth, rankers, k_rrf)
-    each = [F.max(F.when(F.col("ranker") == i, F.col("component"))).alias(f"c{i}") for i in range(len(rankers))]
+    parts, n = rrf_parts(index, terms, 2 * depth, rankers, k_rrf), 3 if rankers is None else len(rankers)
+    each = [F.max(F.when(F.col("ranker") == i, F.col("component"))).alias(f"c{i}") for i in range(n)]
     wide = parts.groupBy("query_id", "pos").agg(F.min(F.struct("ranker", "rank")).alias("met"), *each)
-    score = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in range(len(rankers))])
+    score = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in range(n)])
     return top(wide.select("query_id", "pos", "met", score.alias("score")), index, depth, [F.col("score").desc(), F.col("met")])
 
 

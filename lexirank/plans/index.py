@@ -1,31 +1,35 @@
-"""The inverted index as four tables: docs, postings, terms, corpus."""
+"""The index as five tables: docs, forward (each document's terms), postings (each term's documents), terms, corpus."""
 
 from __future__ import annotations
 
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze
+from ..functions.text import kept_tokens, stem_bag
 from ..schemas import INDEX
-from ..storage import materialize, scratch
+from ..storage import discard, materialize, scratch
 
 #: The models' constants.
 MU, K1, B, K2 = 2000.0, 1.5, 0.75, 500.0
+#: Documents in a folder of the forward table: a few documents' terms are read without the rest.
+PART_DOCS = 1 << 16
 
 
 @dataclass(frozen=True)
 class Index:
     docs: DataFrame
+    forward: DataFrame
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
     def save(self, path: str) -> None:
         for name in INDEX:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            table = getattr(self, name).write.mode("overwrite")
+            (table.partitionBy("part") if name == "forward" else table).parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
@@ -33,8 +37,8 @@ class Index:
 
 
 def positions(docs: DataFrame, order: str) -> DataFrame:
-    """docs with a dense position from 0 in the order of a column. Rows are dealt into ranges, and each range starts at
-    the number of rows before it, so nothing but one count a range comes together."""
+    """docs with a dense position from 0 in the order of a column. Rows are dealt into ranges, written once, and each
+    range starts at the number of rows before it, so nothing but one count a range comes together."""
     ranged = materialize(docs.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
@@ -42,17 +46,27 @@ def positions(docs: DataFrame, order: str) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_range").withColumn("pos", (F.col("_start") + inside - 1).cast("long")).drop("_range", "_start")
 
 
+def part(pos: Column) -> Column:
+    """The folder of the forward table that a position is in."""
+    return F.floor(pos / PART_DOCS)
+
+
+def _length(bag: Column) -> Column:
+    return F.aggregate(bag, F.lit(0).cast("long"), lambda n, t: n + t.tf)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: str | None = None, stop_words: Collection[str] | None = None, path: str | None = None) -> Index:
     """Build the index and write it to path (else into the shared folder). Ids must be unique; order: the corpus order,
     by default the id's. Null text is empty; documents without a term count in the corpus size and mean length."""
     spark = docs.sparkSession
     path = path or scratch(spark, "index")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(order or id_col).alias("_order"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = materialize(positions(rows, "_order").select("pos", F.col("_id").cast("string").alias("doc_id"), "text"), "placed")
-    counts = materialize(analyze(placed, "pos", "text", stop_words).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.min("position").alias("first_pos")), "counts")
-    lengths = counts.groupBy("pos").agg(F.sum("tf").alias("dl"))
+    numbered = positions(rows, "_order").select("pos", F.col("_id").cast("string").alias("doc_id"), "text")
+    # a document's tokens become its bag of stems in one pass, without a shuffle
+    placed = materialize(numbered.withColumn("bag", stem_bag(kept_tokens(F.col("text"), stop_words))).withColumn("dl", _length(F.col("bag"))), "placed")
+    counts = placed.select("pos", "dl", F.inline("bag"))
 
-    totals = placed.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total_tokens")))
+    totals = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
     corpus = totals.select(
         "n", F.when(F.col("n") > 0, F.col("total_tokens") / F.col("n")).otherwise(0.0).alias("adl"), "total_tokens",
         *(F.lit(v).alias(name) for name, v in (("mu", MU), ("k1", K1), ("b", B), ("k2", K2))),
@@ -72,14 +86,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     terms = spark.read.schema(INDEX["terms"]).parquet(f"{path}/terms")
 
     weight = (F.log(F.col("tf").cast("double")) + 1) * F.col("idf_smooth")
-    postings = counts.join(terms.select("term", "idf_smooth"), "term").join(lengths, "pos").select("term", "pos", "tf", "first_pos", weight.alias("tfidf"), "dl")
-    # ranges of terms: a query's terms prune files and row groups by their bounds
-    postings.repartitionByRange("term").sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = counts.join(terms.select("term", "idf_smooth"), "term").select("term", "pos", "tf", "first_pos", weight.alias("tfidf"), "dl")
+    # ranges of terms: a query's terms prune files and row groups by their bounds; a frequent term has many ranges
+    postings.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.schema(INDEX["postings"]).parquet(f"{path}/postings")
 
-    norms = postings.groupBy("pos").agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"), F.first("dl").alias("dl"))
-    whole = placed.join(norms, "pos", "left").select("pos", "doc_id", "text", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"), F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    norms = postings.groupBy("pos").agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
+    whole = placed.join(norms, "pos", "left").select("pos", "doc_id", "text", "dl", F.coalesce("norm", F.lit(0.0)).alias("norm"))
     whole.write.mode("overwrite").parquet(f"{path}/docs")
+    forward = placed.select(part(F.col("pos")).alias("part"), "pos", "dl", "bag")
+    forward.sortWithinPartitions("part", "pos").write.partitionBy("part").mode("overwrite").parquet(f"{path}/forward")
+    discard(placed)
     return Index.load(spark, path)
 
 

@@ -95,20 +95,21 @@ def suggestions(queries: DataFrame, typed: str, limit: Any = SUGGEST_LIMIT) -> D
         return spark.createDataFrame([], "place int, text string")
     own = spark.createDataFrame([(raw,)], "text string").select(T.stems(F.col("text")).alias("s")).first()["s"]
     budget = min(len(raw.split()) + SUGGEST_EXTRA_WORDS, SUGGEST_MAX_WORDS)
-    # no two texts that differ in case only: the first in the order of texts stays
-    texts = query_texts(queries).withColumn("n", F.row_number().over(Window.partitionBy(F.lower("text")).orderBy("text"))).where("n = 1").drop("n")
-    texts = texts.where(T.is_question(F.col("text")) & (T.word_count(F.col("text")) <= budget))
+    texts = query_texts(queries).where(T.is_question(F.col("text")) & (T.word_count(F.col("text")) <= budget))
+    texts = texts.groupBy(F.lower("text")).agg(F.min("text").alias("text")).select("text")  # the first of those that differ in case only
     found = F.filter(F.lit(own or [""]), lambda s: F.array_contains(F.col("stems"), s))
     prefix = F.startswith(F.lower("text"), F.lit(raw.lower()))
-    rows = texts.withColumn("stems", T.stems(F.col("text"))).withColumns({"hits": F.size(found) if own else F.lit(0), "fuzzy": T.fuzzy_scores(raw, F.col("text"))})
-    rows = rows.where(F.col("fuzzy") >= fuzzy_cutoff(len(raw))).withColumn("score", F.col("fuzzy") + F.when(prefix, 0.5).otherwise(0.0)).cache()
+    rows = texts.withColumn("stems", T.stems(F.col("text"))).withColumn("hits", F.size(found) if own else F.lit(0))
     least = [len(own), max(1, len(own) - 1)] if own else [0]
-    rows = next((x for n in least if not (x := rows.where(F.col("hits") >= n)).isEmpty()), rows.where("false"))
+    rows = rows.where(F.col("hits") >= least[-1]).withColumn("fuzzy", T.fuzzy_scores(raw, F.col("text")))  # the slow score for what passed the rest
+    rows = rows.where(F.col("fuzzy") >= fuzzy_cutoff(len(raw))).withColumn("score", F.col("fuzzy") + F.when(prefix, 0.5).otherwise(0.0))
     shown = F.when(prefix, F.concat(F.lit(raw), F.expr(f"substring(text, {len(raw) + 1})"))).otherwise(F.col("text"))
     order = [F.desc("hits"), F.desc("score"), F.length("text"), F.lower("text")]
-    rows = rows.withColumns({"shown": shown, "place": F.row_number().over(Window.orderBy(*order))})
-    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy(F.lower("shown")).orderBy("place"))).where("again = 1")
-    return rows.orderBy("place").limit(limit).select("place", F.col("shown").alias("text"))
+    # texts with all stems come first, so the first rows say whether there are any; of the rows that are shown alike the
+    # first stays, and those differ from each other in case at most, which texts no longer do
+    head = rows.select("hits", shown.alias("text"), F.row_number().over(Window.orderBy(*order)).alias("place")).where(F.col("place") <= limit)
+    best = F.max("hits").over(Window.partitionBy())
+    return head.withColumn("best", best).where((F.col("hits") >= least[0]) | (F.col("best") < least[0])).select("place", "text").orderBy("place")
 
 
 def document(index: Index, doc_id: str) -> tuple[dict[str, Any], int]:

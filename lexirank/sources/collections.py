@@ -43,10 +43,18 @@ def read_qrels(spark: SparkSession, path: str = "qrels.json", optional: bool = F
         return spark.createDataFrame([], QRELS)
 
 
+def read_suggestion_texts(spark: SparkSession, path: str = "queries.json") -> DataFrame:
+    """Queries to suggest from: those under dataset/ come first; an absent file is an empty table."""
+    try:
+        return open_first(spark, path, QUERIES, ("dataset/", ""))
+    except FileNotFoundError:
+        return spark.createDataFrame([], QUERIES)
+
+
 def query_texts(queries: DataFrame) -> DataFrame:
-    """Distinct trimmed texts that are not blank, in the order of their lower case."""
+    """Distinct trimmed texts that are not blank."""
     text = _strip(F.col("text")).alias("text")
-    return queries.select(text).where("text != ''").distinct().orderBy(F.lower("text"), "text")
+    return queries.select(text).where("text != ''").distinct()
 
 
 def query_lookup(queries: DataFrame) -> DataFrame:

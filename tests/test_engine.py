@@ -1,8 +1,10 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
+from lexirank.functions import text as T
 from lexirank.functions.porter import stem
 from lexirank.functions.stopwords import english
 from lexirank.operators import evaluate as ev
@@ -55,6 +57,75 @@ def test_index(index):
     assert (corpus["n"], corpus["adl"], corpus["total_tokens"]) == (5, 2.2, 11)
 
 
+def test_forward_table(spark, index):
+    """The forward table has the postings by document, and feedback reads only the folders it needs."""
+    want = {(x["pos"], x["term"], x["tf"], x["first_pos"], x["dl"]) for x in index.postings.collect()}
+    rows = index.forward.collect()
+    assert {(x["pos"], t["term"], t["tf"], t["first_pos"], x["dl"]) for x in rows for t in x["bag"]} == want and {x["pos"] for x in rows} == set(range(5))
+    feedback = spark.createDataFrame([("q", 2, 1)], "query_id string, pos long, rank int")
+    held = r.feedback_terms(index, feedback)
+    assert {(x["query_id"], x["pos"], x["term"], x["tf"]) for x in held.collect()} == {("q", p, t, tf) for p, t, tf, _, _ in want if p == 2}
+    assert "dynamicpruning" in held._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_bags_against_counting(spark):
+    texts = ["cats cat running run the a", None, "", "of the", "x1 x1 dogs " * 50]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", T.stem_bag(T.kept_tokens(T.F.col("text"))).alias("b"), T.stems(T.F.col("text")).alias("s")).orderBy("i").collect()
+    for x in got:
+        assert {t["term"]: t["tf"] for t in x["b"]} == Counter(x["s"]) and all(x["s"].index(t["term"]) == t["first_pos"] for t in x["b"])
+    assert got[0]["s"] == ["cat", "cat", "run", "run"]
+    nothing = spark.createDataFrame([(None,)], "w array<string>").select(T.stem_all("w").alias("s"), T.stem_bag("w").alias("b")).first()
+    assert nothing["s"] is None and nothing["b"] == []
+
+
+def test_passages_of_any_length(spark):
+    from lexirank.queries import passages
+
+    docs = [("1", "one two three four five six seven eight nine ten"), ("2", "twofold xone two threefold"), ("3", "none"), ("4", None), ("5", "a one two  three b")]
+    asked = ["one two three four five six seven eight nine", "one two three", "one two", "one", "", "  ", None, "two three four", "six seven eight nine ten", "two  three"]
+    got = passages(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(str(i), t) for i, t in enumerate(asked)], "query_id string, text string")).collect()
+    want = Counter((str(i), d) for i, q in enumerate(asked) if q and q.strip() for d, t in docs if t and q in t)
+    assert Counter(map(tuple, got)) == want
+
+
+def test_explain_statuses(index):
+    assert ex.explain_request(index, " ", "d1") == ({"error": "missing_q_or_doc"}, 400) and ex.explain_request(index, "cat", None)[1] == 400
+    assert ex.explain_request(index, "cat", "d1", "nope")[1] == 400 and ex.explain_request(index, "cat", "d9")[1] == 404
+    assert ex.explain_request(index, "zebra", "d1", "rm3") == ({"error": "no_pass1"}, 200)
+    out, status = ex.explain_request(index, "cat fish", "d1", "lm_dirichlet")
+    assert status == 200 and {t["term"]: t.get("note") for t in out["terms"]} == {"cat": None, "fish": ex.NOT_IN_DOC}
+
+
+def test_long_queries_are_shown_whole_and_documents_cut(spark, tmp_path):
+    long = "cat " * 40_000
+    index = build_index(spark.createDataFrame([("d", long), ("e", "dog")], "doc_id string, text string"), path=str(tmp_path))
+    out = ex.build_explanation(index, long, "d", "bm25")
+    assert "".join(x["text"] for x in out["query_segments"]) == long.strip() and out["document_truncated"]
+    assert "".join(x["text"] for x in out["document_segments"]) == long[: ex.MAX_CHARS]
+
+
+def test_grid_against_every_pair(spark, index, queries, qrels):
+    """Leaving documents out by their bounds changes no pair's ranking."""
+    for depth in (1, 2, 25):
+        for row in ev.grid_search(index, queries, qrels, (0.1, 1.5, 9.0), (0.0, 0.5, 1.0), depth).collect():
+            changed = Index(index.docs, index.forward, index.postings, index.terms, index.corpus.withColumns({"k1": T.F.lit(row["k1"]), "b": T.F.lit(row["b"])}))
+            assert row["map"] == pytest.approx(ev.means(ev.evaluate(changed, queries, qrels, "bm25", depth)).first()["map"])
+
+
+def test_report_keeps_the_order_of_queries(spark):
+    queries = spark.createDataFrame([(q, f"{q} " * 40) for q in ("z", "a", "m")], "query_id string, text string").coalesce(1)
+    per = spark.createDataFrame([("a", "a " * 40, 0.5), ("m", "m " * 40, 0.9), ("z", "z " * 40, 0.5)], "query_id string, query string, ap double")
+    assert [x["query_id"] for x in ev.report(per, queries).collect()] == ["m", "z", "a"] and [x["query_id"] for x in ev.report(per).collect()] == ["m", "a", "z"]
+
+
+def test_own_rankers_are_fused(index, queries):
+    terms = r.query_terms(queries)
+    got = [(x["doc_id"], x["score"]) for x in r.rrf(index, terms, 5, [r.vsm, r.bim]).orderBy("rank").collect()]
+    lists = [{x["doc_id"]: x["rank"] for x in f(index, terms, 10).collect()} for f in (r.vsm, r.bim)]
+    want = {d: sum(1 / (60 + ranks[d]) for ranks in lists if d in ranks) for ranks in lists for d in ranks}
+    assert dict(got) == pytest.approx(want) and [s for _, s in got] == sorted(want.values(), reverse=True)
+
+
 def test_alpha_has_no_effect(index, queries):
     terms = r.query_terms(queries)
     a, b = (r.rocchio(index, terms, 10, alpha=x).orderBy("rank").collect() for x in (0.1, 0.9))
@@ -112,6 +183,45 @@ def test_suggestions(spark):
     assert [x["text"] for x in s.suggestions(queries, "cat").collect()] and s.suggestions(queries, "w").count() == 0
 
 
+def plain_suggestions(texts, typed, limit=8):
+    """The rules, one text at a time."""
+    raw, stop = typed.strip(), english()
+    own = [stem(w) for w in re.findall(r"\w+", raw.lower()) if len(w) > 1 and w not in stop]
+    budget = min(len(raw.split()) + 6, 48)
+    lead = re.compile("^(" + "|".join(T.QUESTION_WORDS) + r")\b", re.IGNORECASE)
+    kept = {}
+    for t in sorted({t.strip() for t in texts if t and t.strip()}):
+        if (t.endswith("?") or lead.search(t)) and len(t.split()) <= budget:
+            kept.setdefault(t.lower(), t)
+    rows = []
+    for t in kept.values():
+        have = {stem(w) for w in re.findall(r"\w+", t.lower()) if len(w) > 1 and w not in stop}
+        score = T.fuzzy_score(raw, t)
+        if score >= s.fuzzy_cutoff(len(raw)):
+            starts = t.lower().startswith(raw.lower())
+            rows.append((-sum(w in have for w in own), -(score + 0.5 * starts), len(t), t.lower(), raw + t[len(raw) :] if starts else t))
+    for least in ([len(own), max(1, len(own) - 1)] if own else [0]):
+        found = sorted(x for x in rows if -x[0] >= least)
+        if found:
+            return [x[-1] for x in found[:limit]]
+    return []
+
+
+def test_suggestions_by_brute_force(spark):
+    """On real texts: typed stop words, stems that all occur somewhere, and stems of which one is missing."""
+    first = lambda t: t.split(".", 1)[0] + "."
+    texts = [first(x["text"]) for x in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect() if x["text"]]
+    texts += [x["text"] for x in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()] + ["Is heon ea of it?", "IS HEON ea of it?", "is heon onenth", " ", None]
+    queries = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string")
+    some = [t for t in texts if t and t.lower().startswith("is ")][:2]
+    hits = 0
+    for typed in ["Is the", "is heon", "is heon zzzz", "zzzz yyyy", "are on", "wh", *[t[: len(t) // 2] for t in some]]:
+        got = [x["text"] for x in s.suggestions(queries, typed).orderBy("place").collect()]
+        assert got == plain_suggestions(texts, typed), typed
+        hits += len(got)
+    assert hits > 10
+
+
 def test_duplicate_ids_are_refused(spark):
     with pytest.raises(ValueError):
         require_unique(spark.createDataFrame([("a",), ("a",)], "doc_id string"))
@@ -127,13 +237,16 @@ def test_stream(spark, index, tmp_path):
 
 
 def test_sources(spark, tmp_path):
-    from lexirank.sources.collections import query_lookup, query_texts, read_qrels, read_queries
+    from lexirank.sources.collections import query_lookup, query_texts, read_qrels, read_queries, read_suggestion_texts
 
     (tmp_path / "dataset").mkdir()
     (tmp_path / "dataset" / "queries.json").write_text('[{"query_id": "1", "text": " b "}, {"query_id": "", "text": "A"}, {"query_id": "3", "text": " "}]')
     queries = read_queries(spark, str(tmp_path / "queries.json"))
-    assert [x["text"] for x in query_texts(queries).collect()] == ["A", "b"]
+    assert sorted(x["text"] for x in query_texts(queries).collect()) == ["A", "b"]
     assert query_lookup(queries).count() == 2
+    (tmp_path / "queries.json").write_text('[{"query_id": "9", "text": "root"}]')
+    assert read_queries(spark, str(tmp_path / "queries.json")).count() == 1 and read_suggestion_texts(spark, str(tmp_path / "queries.json")).count() == 3
+    assert read_suggestion_texts(spark, str(tmp_path / "none.json")).count() == 0
     assert read_qrels(spark, str(tmp_path / "qrels.json"), optional=True).count() == 0
     with pytest.raises(FileNotFoundError):
         read_qrels(spark, str(tmp_path / "qrels.json"))
@@ -141,8 +254,6 @@ def test_sources(spark, tmp_path):
 
 def test_bm25_against_plain_python(spark, tmp_path):
     """An independent loop over dictionaries, on real texts."""
-    import re
-
     rows = [(str(x["doc_id"]), x["text"]) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     texts = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(3).collect()]
     stop = english()
