@@ -5,10 +5,44 @@ The stemmer here is a chain of columns of regular-expression tests on a string o
 
 from __future__ import annotations
 
-from .functions.porter import IRREGULAR, STEP_1A, STEP_2, STEP_3, STEP_4
-from .functions.stopwords import english
-from .functions.text import QUESTION_WORDS
-from .operators.evaluate import B_GRID, K1_GRID
+#: The published stemmer's irregular forms, and the endings of its steps with what takes their place.
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+STEP_1A = [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")]
+STEP_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"),
+    ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log"),
+]
+STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+#: Words that begin a question, and the parameter grid.
+QUESTION_WORDS = (
+    "what why how when where who whose which whom can could should would is are was were am do does did has have had must may might shall will "
+    "aren't isn't wasn't weren't don't doesn't didn't hasn't haven't hadn't can't cannot"
+).split()
+K1_GRID, B_GRID = (0.9, 1.2, 1.5, 1.8, 2.0), (0.3, 0.5, 0.65, 0.75, 0.9)
+#: The stop words.
+STOP_WORDS = """
+    a about above across after afterwards again against all almost alone along already also although always am among
+    amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at back be became
+    because become becomes becoming been before beforehand behind being below beside besides between beyond bill both
+    bottom but by call can cannot cant co con could couldnt cry de describe detail do done down due during each eg eight
+    either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen
+    fifty fill find fire first five for former formerly forty found four from front full further get give go had has
+    hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however hundred i ie
+    if in inc indeed interest into is it its itself keep last latter latterly least less ltd made many may me meanwhile
+    might mill mine more moreover most mostly move much must my myself name namely neither never nevertheless next nine
+    no nobody none noone nor not nothing now nowhere of off often on once one only onto or other others otherwise our
+    ours ourselves out over own part per perhaps please put rather re same see seem seemed seeming seems serious several
+    she should show side since sincere six sixty so some somehow someone something sometime sometimes somewhere still
+    such system take ten than that the their them themselves then thence there thereafter thereby therefore therein
+    thereupon these they thick thin third this those though three through throughout thru thus to together too top
+    toward towards twelve twenty two un under until up upon us very via was we well were what whatever when whence
+    whenever where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole
+    whom whose why will with within without would yet you your yours yourself yourselves
+""".split()
 
 _TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -75,7 +109,7 @@ def _stemmer(words: str) -> list[str]:
 
 
 def _kept(table: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in sorted(english()))
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return f"SELECT id, i, word FROM (SELECT id, unnest(l) AS word, unnest(range(len(l))) AS i FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN}') AS l FROM {table})) WHERE len(word) > 1 AND word NOT IN ({stop})"
 
 
@@ -166,7 +200,7 @@ def _with(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
 
 
-_QRELS = "qrels AS MATERIALIZED (SELECT cast(item_id AS VARCHAR) AS query_id, cast(doc_id AS VARCHAR) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 8)"
+_QRELS = r"qrels AS MATERIALIZED (SELECT cast(item_id AS VARCHAR) AS query_id, cast(doc_id AS VARCHAR) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE regexp_matches(b.text, '\S'))"
 _TOTALS = "totals AS (SELECT query_id, count(*) AS total FROM qrels GROUP BY query_id)"
 
 
@@ -203,26 +237,49 @@ def _flat(x: str = "text") -> str:
     return f"replace({x}, chr(10), ' ')"
 
 
+def _explained(model: str, depth: int = 25) -> tuple[list[str], str]:
+    """CTEs, of which the last is pairs: the model's ranking and the corpus's first document for every query."""
+    ctes, select = _ranking(model, depth)
+    return ctes, f"pairs AS MATERIALIZED (SELECT query_id, pos, doc_id FROM ({select}) UNION SELECT query_id, pos, doc_id FROM (SELECT DISTINCT query_id FROM q), (SELECT pos, doc_id FROM d WHERE pos = 0))"
+
+
 def _explain(model: str) -> str:
-    ctes = [*_INDEX, f"pairs AS MATERIALIZED (SELECT query_id, pos, doc_id FROM ({_top(_bm25_sum('q', 'qf'), 3)}))"]
+    ctes, pairs = _explained(model)
     if model == "hybrid_rrf":
-        more, fused = _fusion(100)
+        more, fused = _fusion(400)
         names = "(VALUES (0, 'BM25'), (1, 'VSM'), (2, 'RM3')) AS n(ranker, name)"
-        return _with([*ctes, *more, fused], f"SELECT p.query_id, p.doc_id, name AS ranker, rank, coalesce(round(raw, 6), 0) AS raw_score, coalesce(round(component, 6), 0) AS rrf_component FROM pairs p CROSS JOIN {names} LEFT JOIN fused f ON f.query_id = p.query_id AND f.pos = p.pos AND f.ranker = n.ranker")
+        deep = fused.replace("fused AS", "deep AS", 1)
+        return _with([*_INDEX, *ctes, pairs, *[x for x in more if x not in ctes], deep], f"SELECT p.query_id, p.doc_id, name AS ranker, rank, coalesce(round(raw, 6), 0) AS raw_score, coalesce(round(component, 6), 0) AS rrf_component FROM pairs p CROSS JOIN {names} LEFT JOIN deep f ON f.query_id = p.query_id AND f.pos = p.pos AND f.ranker = n.ranker")
     bm = "idf_bm25 * (tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / adl)))"
     spec = {
-        "bm25": ([], "q", "qf * (k2 + 1) / (qf + k2)", f"{bm} * (qf * (k2 + 1) / (qf + k2))", "false"),
-        "rm3": (_RM3, "rw", "weight * (k2 + 1) / (weight + k2)", f"{bm} * (weight * (k2 + 1) / (weight + k2))", "false"),
-        "vsm": ([_QV], "qv", "weight", "weight * tfidf", "false"),
-        "rocchio_prf": (_ROCCHIO, "rv", "weight", "weight * tfidf", "from_feedback"),
-        "bim": ([], "q", "idf_bim", "idf_bim", "false"),
-        "lm_dirichlet": ([], "q", "qf", "qf * ln((tf + mu * p_collection) / (dl + mu))", "false"),
+        "bm25": ("q", "qf * (k2 + 1) / (qf + k2)", f"{bm} * (qf * (k2 + 1) / (qf + k2))", "false"),
+        "rm3": ("rw", "weight * (k2 + 1) / (weight + k2)", f"{bm} * (weight * (k2 + 1) / (weight + k2))", "false"),
+        "vsm": ("qv", "weight", "weight * tfidf", "false"),
+        "rocchio_prf": ("rv", "weight", "weight * tfidf", "from_feedback"),
+        "bim": ("q", "idf_bim", "idf_bim", "false"),
+        "lm_dirichlet": ("q", "qf", "qf * ln((tf + mu * p_collection) / (dl + mu))", "false"),
     }
-    more, terms, weight, contribution, fed = spec[model]
-    missing = "'missing_in_doc'" if model in ("vsm", "rocchio_prf") else "CASE WHEN t.term IS NULL THEN 'oov_index' ELSE 'missing_in_doc' END"
-    return _with([*ctes, *more], f"""SELECT v.query_id, p.doc_id, v.term, CASE WHEN px.pos IS NOT NULL THEN 'matched' ELSE {missing} END AS status, round({weight}, 6) + 0.0 AS query_weight, tf AS tf_doc,
-        CASE WHEN px.pos IS NULL THEN 0.0::DOUBLE ELSE round({contribution}, 6) + 0.0 END AS contribution, {fed} AS from_feedback
-        FROM {terms} v JOIN pairs p USING (query_id) LEFT JOIN t ON t.term = v.term LEFT JOIN px ON px.term = v.term AND px.pos = p.pos, c""")
+    terms, weight, contribution, fed = spec[model]
+    missing = "'missing_in_doc'" if model in ("vsm", "rocchio_prf") else "CASE WHEN NOT known THEN 'oov_index' ELSE 'missing_in_doc' END"
+    # the terms asked of the documents asked are looked up first, so that the index is joined by them alone
+    asked = f"asked AS MATERIALIZED (SELECT v.*, p.pos, p.doc_id FROM {terms} v JOIN pairs p USING (query_id))"
+    held = "held AS MATERIALIZED (SELECT term, pos, tf, tfidf, dl FROM px SEMI JOIN asked USING (term, pos))"
+    words = "words AS MATERIALIZED (SELECT term, t.idf_bm25, t.idf_bim, t.p_collection, t.term IS NOT NULL AS known FROM (SELECT DISTINCT term FROM asked) LEFT JOIN (SELECT * FROM t) t USING (term))"
+    words = words.replace("t.term IS NOT NULL", "t.df IS NOT NULL")
+    return _with([*_INDEX, *ctes, pairs, asked, held, words], f"""SELECT query_id, doc_id, term, CASE WHEN tf IS NOT NULL THEN 'matched' ELSE {missing} END AS status, round({weight}, 6) + 0.0 AS query_weight, tf AS tf_doc,
+        CASE WHEN tf IS NULL THEN 0.0::DOUBLE ELSE round({contribution}, 6) + 0.0 END AS contribution, {fed} AS from_feedback
+        FROM asked JOIN words USING (term) LEFT JOIN held USING (term, pos), c""")
+
+
+def _segments() -> str:
+    ctes, pairs = _explained("bm25", 3)
+    cut = f"regexp_extract_all(text, '{_TOKEN}|[^\\p{{L}}\\p{{N}}_]+')"
+    texts = "texts AS (SELECT cast(item_id AS VARCHAR) AS query_id, '' AS doc_id, -1 AS pos, text FROM benchmark UNION ALL SELECT query_id, p.doc_id, p.pos, left(text, 120000) AS text FROM pairs p JOIN d USING (pos))"
+    sg = f"sg AS MATERIALIZED (SELECT query_id, doc_id, pos, unnest(l) AS text, cast(unnest(range(len(l))) AS INTEGER) AS ordinal FROM (SELECT query_id, doc_id, pos, {cut} AS l FROM texts))"
+    marks = "marks AS MATERIALIZED (SELECT q.query_id, q.term, -1 AS pos FROM q UNION ALL SELECT q.query_id, q.term, p.pos FROM q JOIN pairs p USING (query_id) JOIN px ON px.term = q.term AND px.pos = p.pos)"
+    seen = "seen AS MATERIALIZED (SELECT DISTINCT text, lower(text) AS word FROM sg)"
+    stem = "word_stem AS MATERIALIZED (SELECT seen.text, s.stem FROM seen JOIN stem_of s USING (word))"
+    return _with([*_INDEX, *ctes, pairs, texts, sg, marks, seen, stem], f"SELECT sg.query_id, doc_id, ordinal, sg.text, regexp_matches(sg.text, '^{_TOKEN}') AS word, m.term IS NOT NULL AS hit FROM sg LEFT JOIN word_stem s ON s.text = sg.text LEFT JOIN marks m ON m.query_id = sg.query_id AND m.pos = sg.pos AND m.term = s.stem")
 
 
 def _grid() -> str:
@@ -267,8 +324,7 @@ def oracle_sql() -> dict[str, str]:
             list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS lines FROM documents),
             o AS (SELECT doc_id, CASE WHEN len(many) > 1 THEN many WHEN len(lines) > 0 THEN lines ELSE ['(Empty document.)'] END AS l FROM p)
             SELECT doc_id, cast(unnest(range(len(l))) AS INTEGER) AS place, unnest(l) AS paragraph FROM o""",
-        "segments": _with([*_INDEX, f"sg AS (SELECT query_id, unnest(l) AS text, cast(unnest(range(len(l))) AS INTEGER) AS ordinal FROM (SELECT cast(item_id AS VARCHAR) AS query_id, regexp_extract_all(text, '{_TOKEN}|[^\\p{{L}}\\p{{N}}_]+') AS l FROM benchmark))"],
-                          f"SELECT sg.query_id, ordinal, sg.text, regexp_matches(sg.text, '^{_TOKEN}') AS word, q.term IS NOT NULL AS hit FROM sg LEFT JOIN stem_of s ON s.word = lower(sg.text) LEFT JOIN q ON q.query_id = sg.query_id AND q.term = s.stem"),
+        "segments": _segments(),
     }
     models = ("bm25", "vsm", "bim", "lm_dirichlet", "hybrid_rrf", "rocchio_prf", "rm3")
     for model in models:
@@ -277,5 +333,5 @@ def oracle_sql() -> dict[str, str]:
         out[f"explain_{model}"] = _explain(model)
     all_ctes = list(dict.fromkeys(x for m in models for x in _ranking(m, 25)[0]))
     rows = " UNION ALL ".join(f"SELECT '{m}' AS model, {_MEANS} FROM ({_metric_rows(_ranking(m, 25)[1])})" for m in models)
-    out["model_comparison"] = _with([*_INDEX, _QRELS, _TOTALS, *all_ctes], rows)
+    out["model_comparison"] = _with([*_INDEX, _QRELS, _TOTALS, *all_ctes], f"SELECT *, cast(row_number() OVER (ORDER BY map DESC, model) AS INTEGER) AS place, row_number() OVER (ORDER BY map DESC, model) = 1 AS best FROM ({rows})")
     return out

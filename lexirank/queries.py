@@ -16,7 +16,9 @@ from .plans.search import depth_needed, page_rows, suggestions
 from .storage import materialize
 
 DEPTH = 25
-_KEY = (2, 6)  # the passage's words that candidates must hold: the second to the seventh
+_INNER = 6  # whole words inside a passage that candidates must hold, at most
+#: What is typed where suggestions are asked for: words in all suggestions, a stem of some, and nothing but a stop word.
+TYPED = ("Is the", "is ndsh", "are onre of erin")
 _built: dict[tuple[str, str], tuple[Index, DataFrame, DataFrame, DataFrame]] = {}
 
 
@@ -25,16 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def passages(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id) where the document holds the query's text. Whole words inside the text are the join key, so
-    only documents that hold those are compared; texts of fewer than eight words are not looked for."""
-    first, n = _KEY
+    """(query_id, doc_id) where the document holds the query's text; a query without a word is in none.
+
+    Whole words inside the text (all but its first and last) are the join key, so only documents that hold those are
+    compared. A text of one or two words has none inside and is looked for in every document."""
     words = lambda c: F.split(c, r"\s+")
-    keys = queries.withColumn("w", words(F.col("text"))).where(F.size("w") >= first + n).select("query_id", F.col("text").alias("passage"), F.xxhash64(F.slice("w", first, n)).alias("key"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
-    held = documents.withColumn("w", words(F.col("text"))).where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    pairs = held.join(keys.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
-    both = pairs.join(documents.select("doc_id", "text"), "doc_id").join(queries.select("query_id", F.col("text").alias("passage")), "query_id")
-    return both.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    asked = queries.where(F.col("text").rlike(r"\S")).select("query_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
+    asked = asked.withColumn("n", F.least(F.size("w") - 2, F.lit(_INNER)))
+    keys = asked.where("n > 0").select("query_id", "n", F.xxhash64(F.slice("w", F.lit(2), F.col("n"))).alias("key"))
+    lengths = sorted(r["n"] for r in keys.select("n").distinct().collect())  # six numbers at most
+    held = documents.withColumn("w", words(F.col("text")))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
+    pairs = None
+    for n in lengths:
+        some = held.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(runs(n))).alias("key"))
+        one = some.join(keys.where(F.col("n") == n).select("query_id", "key"), "key").select("query_id", "doc_id")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    short = documents.join(asked.where("n <= 0").select("query_id", "passage"), F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    if pairs is None:
+        return short
+    both = pairs.distinct().join(documents.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "passage"), "query_id")
+    return both.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id").unionByName(short)
 
 
 def setting(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame, DataFrame, DataFrame]:
@@ -113,11 +126,8 @@ def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = None
-    for name in r.RANKERS:
-        one = ev.means(_metrics(spark, sf_dir, name)).withColumn("model", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
-    return _six(rows)
+    index, queries, _, qrels = setting(spark, sf_dir)
+    return _six(ev.compare(index, queries, qrels, depth=DEPTH))
 
 
 def bm25_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,15 +145,17 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(page_rows(index, queries, ranking, qrels, 2, 5))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, model: str, depth: int = DEPTH) -> DataFrame:
+    """What is explained: the model's own ranking of each query, and the corpus's first document, which it seldom has."""
     index, _, terms, _ = setting(spark, sf_dir)
-    return r.bm25(index, terms, 3).select("query_id", "doc_id")
+    first = terms.select("query_id").distinct().crossJoin(F.broadcast(index.docs.where("pos = 0").select("doc_id")))  # one row
+    return materialize(r.RANKERS[model](index, terms, depth).select("query_id", "doc_id").unionByName(first).distinct(), "pairs")
 
 
 def _explanation(model: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         index, _, terms, _ = setting(spark, sf_dir)
-        pairs = materialize(_pairs(spark, sf_dir), "pairs")
+        pairs = _pairs(spark, sf_dir, model)
         if model == "hybrid_rrf":
             return _six(ex.explain_fusion(index, terms, pairs))
         return _six(ex.explain_terms(index, terms, pairs, model).select("query_id", "doc_id", "term", "status", "query_weight", "tf_doc", "contribution", "from_feedback"))
@@ -161,9 +173,15 @@ def question_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query, its first three documents and the corpus's first, the runs of characters, with those that contribute
+    marked."""
     index, queries, terms, _ = setting(spark, sf_dir)
-    own = terms.groupBy("query_id").agg(F.collect_set("term").alias("stems"))
-    return ex.segment_rows(queries, own, "query_id").select("query_id", "ordinal", "text", "word", "hit")
+    pairs = _pairs(spark, sf_dir, "bm25", 3)
+    matched = ex.explain_terms(index, terms, pairs, "bm25").where("status = 'matched'").groupBy("query_id", "doc_id").agg(F.collect_set("term").alias("stems"))
+    docs = ex.segment_rows(pairs.join(ex.document_text(index), "doc_id"), matched, ["query_id", "doc_id"])
+    own = terms.groupBy("query_id").agg(F.collect_set("term").alias("stems")).withColumn("doc_id", F.lit(""))
+    both = docs.unionByName(ex.segment_rows(queries.withColumn("doc_id", F.lit("")), own, ["query_id", "doc_id"]))
+    return both.select("query_id", "doc_id", "ordinal", "text", "word", "hit")
 
 
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +189,11 @@ def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "conversations").select("text")
-    return suggestions(texts, "what is")
+    """Suggestions for each of TYPED, from the benchmark's texts and the first sentences of conversations."""
+    first = F.concat(F.substring_index("text", ".", 1), F.lit("."))
+    texts = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "conversations").select(first.alias("text")))
+    rows = [suggestions(texts, typed).select(F.lit(typed).alias("typed"), "place", "text") for typed in TYPED]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
