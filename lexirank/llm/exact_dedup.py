@@ -122,7 +122,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     middle = F.lit(((low or 0) + (high or 0)) // 2)
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
-    shards = max(1, -(-total // (2 * rows_per_shard)))
+    # as many shards as tasks at least, so that all tasks have some
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * rows_per_shard)))
     history, batch = rows.where(old), rows.where(~old)
     store = materialize(build_store(history, shards), "mph")
     probed = probe_store(batch, store, shards).select("digest", "winner", "n", "member")

@@ -2,9 +2,9 @@
 
 A language is a distribution over byte trigrams of lower-cased letters, hashed into a table and learned from texts of
 that language. A word's likelihood under a language is that of its trigrams; a document is a mixture of languages whose
-proportions expectation-maximisation finds from its words. The set of languages is chosen by penalised likelihood: sets
-of the strongest languages, growing by one, compete by the Bayesian information criterion, and only documents in which
-even the whole mixture could beat one language are run again.
+proportions expectation-maximisation finds from its words. The set of languages is chosen by penalised likelihood: from
+the likeliest single language it grows by the language that lowers the Bayesian information criterion most, as long as one
+does, and only documents in which even the whole mixture could lower it are run again.
 
 Learned from at most about sample_rows texts a language, chosen by a hash of the id; every text is then predicted whole.
 
@@ -56,7 +56,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     if not sizes:
         return {"langs": [], "logp": np.zeros((0, 1 << BITS), np.float32)}
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample_rows / n) * 1_000_000)))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < share[F.col("lang")])
+    picked = picked.groupBy("lang", "doc_id").agg(F.max("text").alias("text")).select("lang", "text")  # of rows that share an id, one
     found = picked.groupBy("lang").applyInArrow(_count, "lang string, counts binary").collect()  # half a megabyte a language
     counts = {r["lang"]: np.frombuffer(bytes(r["counts"]), "<i8") for r in found}
     langs = sorted(counts, key=lambda x: x.encode())
@@ -99,26 +100,29 @@ def mixtures(texts, model: dict) -> np.ndarray:
     like = np.exp(np.maximum(like - top, -60))
     docs = np.flatnonzero(w.per_doc)
     edges, n = w.first_word[docs], w.per_doc[docs].astype(float)
-    pi, whole = em(like, edges)
-    strong = np.argsort(-pi, axis=1, kind="stable")
-    best = _sum(np.log(np.maximum(like[np.arange(len(like)), np.repeat(strong[:, 0], w.per_doc[docs])], 1e-30)).astype(np.float64), edges)
+    _, whole = em(like, edges)
+    alone = _sum(np.log(np.maximum(like, 1e-30)).astype(np.float64), edges)  # of each language by itself
     penalty = np.log(np.maximum(n, 2))
-    price = penalty - 2 * best  # of one language
     chosen = np.zeros((len(docs), k))
-    chosen[np.arange(len(docs)), strong[:, 0]] = 1
+    chosen[np.arange(len(docs)), alone.argmax(axis=1)] = 1
+    price = penalty - 2 * alone.max(axis=1)
+    again = np.arange(len(docs))
     for size in range(2, k + 1):
-        again = np.flatnonzero(size * penalty - 2 * whole < price)  # no set of that size is likelier than all languages
-        if not len(again):
-            break
-        rows = np.concatenate([np.arange(edges[d], edges[d] + int(n[d])) for d in again])
-        inside = np.zeros((len(again), k), np.float32)
-        np.put_along_axis(inside, strong[again, :size], 1, axis=1)
-        counts = n[again].astype(np.int64)
-        sub, likely = em(like[rows] * np.repeat(inside, counts, axis=0), np.cumsum(counts) - counts)
-        cost = size * penalty[again] - 2 * likely
-        better = cost < price[again]
-        price[again[better]] = cost[better]
-        chosen[again[better]] = sub[better]
+        again = again[size * penalty[again] - 2 * whole[again] < price[again]]  # no set of that size is likelier than all languages
+        before, grown = chosen[again], np.zeros(len(again), bool)
+        for c in range(k):  # the set grows by the language that helps most
+            some = np.flatnonzero(before[:, c] == 0)
+            if not len(some):
+                continue
+            of, counts = again[some], n[again[some]].astype(np.int64)
+            rows = np.repeat(edges[of] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            inside = (before[some] > 0).astype(np.float32)
+            inside[:, c] = 1
+            sub, likely = em(like[rows] * np.repeat(inside, counts, axis=0), np.cumsum(counts) - counts)
+            cost = size * penalty[of] - 2 * likely
+            better = cost < price[of]
+            price[of[better]], chosen[of[better]], grown[some[better]] = cost[better], sub[better], True
+        again = again[grown]
     out[docs] = chosen
     return out
 

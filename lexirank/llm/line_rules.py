@@ -7,11 +7,11 @@ content hold at least keep_share of its words.
 
 The field is trained here, from document labels: lines of good documents count as content, lines of bad ones first as
 boilerplate; after each fit the lines of bad documents are relabelled by decoding, so that clean lines in them become
-content, and the field is fitted again. At most about sample_rows labelled documents, chosen by a hash of the id, are
-learned from; runs of more than 64 lines are learned from in pieces. Texts are decoded whole.
+content, and the field is fitted again from where it was. At most about sample_rows labelled documents, chosen by a hash
+of the id, of at most sample_lines lines each, are learned from, whole; texts of any number of lines are decoded whole.
 
 Defined cases: a null or empty text has no words and fails; a line without words has no say in the share; a null id, null
-labels and labels of unknown documents are not learned from, of repeated labels the smallest counts; without labels every
+labels and labels of unknown documents are not learned from, of repeated labels the smallest counts, of rows that share a labelled id one; without labels every
 line is content; repeated rows get equal results; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -29,7 +29,6 @@ from .common import Words, batches_by_bytes, mix, sampled
 #: Fixed value: the characters that n_symbols counts.
 SYMBOLS = b"#*$%&|<>"
 CONTENT, BOILERPLATE = 0, 1
-PIECE = 64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _CAPITAL, _SMALL = np.zeros(256, bool), np.zeros(256, bool)
@@ -110,13 +109,6 @@ class Lines:
         ]).astype(float)
 
 
-def _padded(values: np.ndarray, per_doc: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(per_doc), width, *values.shape[1:]), values.dtype)
-    at = np.arange(len(values)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    out[np.repeat(np.arange(len(per_doc)), per_doc), at] = values
-    return out
-
-
 def viterbi(scores: np.ndarray, per_doc: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The best label of each line; scores: lines x 2, texts end to end; trans: from label, to label."""
     labels = np.zeros(len(scores), np.int8)
@@ -142,45 +134,74 @@ def viterbi(scores: np.ndarray, per_doc: np.ndarray, trans: np.ndarray) -> np.nd
     return labels
 
 
-def fit_crf(x: np.ndarray, y: np.ndarray, per_doc: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> dict:
-    """Maximise the conditional likelihood of the labels by forward-backward and Adam."""
-    width = int(per_doc.max())
-    xs, ys = _padded(x, per_doc, width), _padded(y, per_doc, width)
-    mask = np.arange(width)[None] < per_doc[:, None]
-    gold = np.eye(2)[ys] * mask[..., None]
-    pair_gold = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
-    theta = np.zeros(2 * x.shape[1] + 4)
-    m, v, n = np.zeros_like(theta), np.zeros_like(theta), mask.sum()
+class _Chains:
+    """The lines of texts by their place in the text: at each place those of the longest texts come first, so texts that
+    still have a line are always a head of the list."""
+
+    def __init__(self, per_doc: np.ndarray):
+        docs = np.argsort(-per_doc, kind="stable")
+        docs = docs[per_doc[docs] > 0]
+        counts, begin = per_doc[docs], (np.cumsum(per_doc) - per_doc)[docs]
+        self.live = np.searchsorted(-counts, -np.arange(counts[0] if len(counts) else 0), side="left")  # texts with a line at each place
+        self.order = np.concatenate([begin[:m] + t for t, m in enumerate(self.live)]) if len(docs) else np.zeros(0, np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.live)])
+
+    def place(self, values: np.ndarray, t: int) -> np.ndarray:
+        """The rows of values, which are ordered by place, that are at place t; a view."""
+        return values[self.at[t] : self.at[t + 1]]
+
+
+def likelihood(x: np.ndarray, y: np.ndarray, chains: _Chains, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """The labels' conditional log-likelihood, and its gradient by forward-backward. x, y: lines ordered by place."""
+    w, trans = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
+    s = x @ w
+    alpha, beta = s.copy(), np.zeros_like(s)
+    last = len(chains.live) - 1
+    pairs, pair_gold, gold = np.zeros((2, 2)), np.zeros((2, 2)), np.eye(2)[y]
+    for t in range(1, last + 1):
+        a, now = chains.place(alpha, t - 1)[: chains.live[t]], chains.place(alpha, t)
+        now += np.logaddexp(a[:, :1] + trans[0], a[:, 1:] + trans[1])
+    z = np.zeros(chains.live[0])
+    for t in range(last, -1, -1):
+        a, m = chains.place(alpha, t), chains.live[t + 1] if t < last else 0
+        z[m : chains.live[t]] = np.logaddexp(a[m:, 0], a[m:, 1])  # texts that end here
+        if m:
+            ahead = chains.place(s, t + 1) + chains.place(beta, t + 1)
+            chains.place(beta, t)[:m] = np.logaddexp(ahead[:, :1] + trans[:, 0], ahead[:, 1:] + trans[:, 1])
+            pairs += np.exp(a[:m, :, None] + trans + ahead[:, None, :] - z[:m, None, None]).sum(axis=0)
+            pair_gold += chains.place(gold, t)[:m].T @ chains.place(gold, t + 1)
+    whole = np.concatenate([z[:m] for m in chains.live])
+    p = np.exp(alpha + beta - whole[:, None])
+    value = float((s * gold).sum() + (pair_gold * trans).sum() - z.sum())
+    return value, np.concatenate([(x.T @ (gold - p)).ravel(), (pair_gold - pairs).ravel()])
+
+
+def fit_crf(x: np.ndarray, y: np.ndarray, per_doc: np.ndarray, start: np.ndarray | None = None, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
+    """Maximise the conditional likelihood of the labels by Adam, over whole texts."""
+    chains = _Chains(per_doc)
+    x, y = x[chains.order], y[chains.order]
+    theta = np.zeros(2 * x.shape[1] + 4) if start is None else start
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, trans = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-        s = xs @ w
-        alpha, beta = np.zeros_like(s), np.zeros_like(s)
-        alpha[:, 0] = s[:, 0]
-        for t in range(1, width):
-            alpha[:, t] = np.where(mask[:, t, None], np.logaddexp(alpha[:, t - 1, :1] + trans[0], alpha[:, t - 1, 1:] + trans[1]) + s[:, t], alpha[:, t - 1])
-        for t in range(width - 2, -1, -1):
-            nxt = s[:, t + 1] + beta[:, t + 1]
-            beta[:, t] = np.where(mask[:, t + 1, None], np.logaddexp(nxt[:, :1] + trans[:, 0], nxt[:, 1:] + trans[:, 1]), 0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None, None]
-        p = np.exp(alpha + beta - z) * mask[..., None]
-        ways = np.exp(alpha[:, :-1, :, None] + trans + (s + beta)[:, 1:, None, :] - z[..., None]) * mask[:, 1:, None, None]
-        g = np.concatenate([np.einsum("ntf,nta->fa", xs, p - gold).ravel(), (ways.sum(axis=(0, 1)) - pair_gold).ravel()]) / n + ridge * theta
+        g = ridge * theta - likelihood(x, y, chains, theta)[1] / len(x)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"w": theta[:-4].reshape(-1, 2), "trans": theta[-4:].reshape(2, 2)}
+    return theta
 
 
-def _pieces(per_doc: np.ndarray) -> np.ndarray:
-    return np.concatenate([[PIECE] * (k // PIECE) + [k % PIECE] * (k % PIECE > 0) for k in per_doc.tolist()]).astype(np.int64)
+def _model(theta: np.ndarray) -> dict:
+    return {"w": theta[:-4].reshape(-1, 2), "trans": theta[-4:].reshape(2, 2)}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4_000, rounds: int = 3) -> dict:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4_000, sample_lines: int = 1_000, rounds: int = 3) -> dict:
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_id").isNotNull())
     known = known.groupBy("_id").agg(F.min("label").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, sampled(F.col("_id"), sizes.get(1, 0), sample_rows // 2)).otherwise(sampled(F.col("_id"), sizes.get(0, 0), sample_rows // 2))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(known.where(share)), F.col("doc_id") == F.col("_id")).select("label", "text")  # about sample_rows ids
+    rows = rows.join(F.broadcast(known.where(share)), F.col("doc_id") == F.col("_id"))  # about sample_rows ids
+    rows = rows.where(F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) < sample_lines)
+    rows = rows.groupBy("_id", "label").agg(F.max("text").alias("text")).select("label", "text")  # of rows that share an id, one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text"):
@@ -194,9 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"w": np.array([[1.0, 0.0]] + [[0.0, 0.0]] * (N_FEATURES - 1)), "trans": np.zeros((2, 2))}
     per_doc = np.array([len(v) // N_FEATURES for v in sample["x"].to_pylist()])
     bad = np.repeat(sample["label"].to_numpy() == 0, per_doc)
-    y, pieces = bad.astype(np.int64), _pieces(per_doc)
-    for _ in range(rounds):
-        model = fit_crf(x, y, pieces)
+    y, theta = bad.astype(np.int64), None
+    for n in range(rounds):
+        theta = fit_crf(x, y, per_doc, theta, 40 if n else 120)
+        model = _model(theta)
         y = np.where(bad, viterbi(x @ model["w"], per_doc, model["trans"]), CONTENT).astype(np.int64)
     return model
 

@@ -69,7 +69,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op6_jaccard_join, op7_bpe, op8_substring_dedup, op9_line_rules, op10_mixing)}
+def line_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 counts, without the labeller's verdict, so that SQL can be held against it."""
+    docs = read(spark, sf_dir, "documents")
+    counted = line_rules.label_lines(docs, line_rules.train(docs, read(spark, sf_dir, "labels").where("false")))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 sets out to meet, without the draws, so that SQL can be held against it."""
+    mixed = mix_sources(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_warc, op4_language, op5_quality, op6_jaccard_join, op7_bpe, op8_substring_dedup, op9_line_rules, op10_mixing, line_base_counts, mixing_targets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -105,4 +118,27 @@ ORACLE_SQL: dict[str, str] = {
         words AS (SELECT r, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM t),
         kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
         SELECT doc_id, len(l) AS n_words, len(l) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (r)""",
+    "line_base_counts": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+        lines AS (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+        dup AS (SELECT r, sum(n - 1) AS n FROM lines GROUP BY r),
+        w AS (SELECT r, i, array_to_string(l[i:i + 4], ' ') AS k FROM (SELECT r, l, unnest(range(1, len(l) - 3)) AS i FROM t)),
+        twice AS (SELECT r, i FROM w SEMI JOIN (SELECT r, k FROM w GROUP BY ALL HAVING count(*) > 1) USING (r, k)),
+        again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+        c AS (SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(list_sum(list_transform(l, lambda x: len(x))), 0)::BIGINT AS word_chars,
+                len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words
+              FROM t LEFT JOIN dup USING (r) LEFT JOIN again USING (r))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c""",
+    "mixing_targets": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS n, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM t GROUP BY source),
+        -- each round caps the sources above three times their size, and the rest share what is left
+        f(round, source, n, weight, capped) AS (
+            SELECT 0, source, n, weight, false FROM s
+            UNION ALL
+            SELECT round + 1, source, n, weight, capped OR weight * ((sum(n) OVER ()) - (sum(CASE WHEN capped THEN 3 * n ELSE 0 END) OVER ())) / (sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ()) > 3 * n
+            FROM f WHERE round < (SELECT count(*) FROM s)),
+        e AS (SELECT * FROM f WHERE round = (SELECT max(round) FROM f)),
+        g AS (SELECT source, n, CASE WHEN capped THEN 3.0 * n ELSE weight * ((sum(n) OVER ()) - (sum(CASE WHEN capped THEN 3 * n ELSE 0 END) OVER ())) / (sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ()) END AS target FROM e)
+        SELECT doc_id, size, n AS source_size, round(target::DOUBLE, 6) AS target FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source""",
 }

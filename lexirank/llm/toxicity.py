@@ -11,7 +11,7 @@ regression on these counts gives the score.
 Learned from at most about sample_rows labelled rows, chosen by a hash of the id; every text is then scored whole.
 
 Defined cases: null and empty texts get the score of a text without matches; null labels and labels of unknown documents
-are ignored, of repeated labels the largest counts; a null id is never held out; repeated rows get equal scores; without
+are ignored, of repeated labels the largest counts, of rows that share a labelled id one; a null id is never held out; repeated rows get equal scores; without
 toxic rows to learn from the lexicon is empty; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -199,10 +199,10 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) ->
     return w
 
 
-def learn_lexicon(rows: DataFrame, least: float = 25.0, ratio: float = 5.0, start_ratio: float = 2.0, most: int = 2000) -> dict:
+def learn_lexicon(rows: DataFrame, least: float = 25.0, ratio: float = 5.0, start_ratio: float = 2.0) -> dict:
     """rows: (text, label). Terms by the documents that hold them; the log-likelihood ratio of the two shares must be
     least, and the share among toxic documents ratio times (for a beginning start_ratio times) that among the others. A
-    term's weight is the log of that ratio. At most `most` terms come back."""
+    term's weight is the log of that ratio. Rows are a bounded sample, so their terms are as well."""
     one, zero = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     if not one or not zero:
         return {"words": {}, "beginnings": {}}
@@ -217,7 +217,6 @@ def learn_lexicon(rows: DataFrame, least: float = 25.0, ratio: float = 5.0, star
     found = terms.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a >= 3")
     times = (a + 0.5) / (one + 1) / ((b + 0.5) / (zero + 1))
     found = found.withColumns({"g2": g2, "times": times}).where((F.col("g2") >= least) & (F.col("times") >= F.when(F.endswith("term", F.lit("*")), start_ratio).otherwise(ratio)))
-    found = found.orderBy(F.desc("g2"), "term").limit(most)
     # strongest first; of nested beginnings the strongest says all, and of equal ones the shortest
     rows_found = found.select("term", "g2", F.log("times").alias("weight")).collect()
     strength, weight = {r["term"]: r["g2"] for r in rows_found}, {r["term"]: r["weight"] for r in rows_found}
@@ -239,7 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     total = known.count()
     picked = known.where(sampled(F.col("doc_id"), total, sample_rows)).select(F.col("doc_id").alias("_id"), "label")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("label", "text")  # about sample_rows ids at most
+    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # about sample_rows ids at most
+    rows = rows.groupBy("_id", "label").agg(F.max("text").alias("text")).select("label", "text")  # of rows that share one, one
     lexicon = learn_lexicon(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ reaches, and only those are records.
 Of records with equal payloads of at least min_payload bytes, that with the largest id is a response and the others are
 revisits of it. Defined cases: null html is an empty payload; a null url is an empty one, one of any length is
 kept, and control characters in it are dropped; a null id never wins, and where all ids of a group are null all are responses; repeated rows give repeated
-records; an empty table gives no record and an empty result; other columns are ignored.
+records; an empty table gives no record and an empty result; other columns
+are ignored; a file that is cut off or altered between records is an error.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import discard, materialize, scratch
 
 END = "\r\n\r\n"
 MAGIC = b"WARC/1.1\r\n"
@@ -48,11 +49,15 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     html = F.coalesce(F.col(html_col), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7f]+", "")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
-    copies = rows.where(F.col("size") >= min_payload).groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 AND winner IS NOT NULL").select(F.col("sha").alias("of"), "winner")
+    copies = rows.where(F.col("size") >= min_payload).groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 AND winner IS NOT NULL").select(F.col("sha").alias("of"), "winner", "n")
     copies = materialize(copies, "copies")
     if copies.count() <= BROADCAST_GROUPS:
-        copies = F.broadcast(copies)
-    rows = rows.join(copies, F.col("sha") == F.col("of"), "left")
+        rows = rows.join(F.broadcast(copies.drop("n")), F.col("sha") == F.col("of"), "left")
+    else:  # at most 1,000 payloads can be in a thousandth of the rows each: those go to all tasks, so none gets a hot one
+        hot = F.col("n") > max(100, pages.count() // 1000)
+        tagged = rows.join(F.broadcast(copies.where(hot).drop("n")), F.col("sha") == F.col("of"), "left")
+        rest = tagged.where(F.col("of").isNull()).drop("of", "winner").join(copies.where(~hot).drop("n"), F.col("sha") == F.col("of"), "left")
+        rows = tagged.where(F.col("of").isNotNull()).unionByName(rest)
     again = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     block = F.when(again, http).otherwise(F.concat(http, F.col("html")))
@@ -173,8 +178,11 @@ def _walk(key: tuple, table: pa.Table) -> pa.Table:
     return table.drop_columns(["entry"]).take(pa.array(keep, pa.int64()))
 
 
-def read_warc(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> DataFrame:
-    """One row per record of the archives under path, with its file, offset, ids, type, and its payload's size and digest."""
+def read_warc(spark: SparkSession, path: str, split_bytes: int = 4 << 20, strict: bool = True) -> DataFrame:
+    """One row per record of the archives under path, with its file, offset, ids, type, and its payload's size and digest.
+
+    A file whose chain of records does not end where the file does is damaged. strict: that is an error; otherwise the
+    records up to the damage are returned."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").where("length > 0")
     ranges = files.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {split_bytes}"))))
     longest = ranges.agg(F.max("split")).first()[0]
@@ -187,9 +195,14 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> Dat
     hop = jump.select("path", "offset", "exit")
     for _ in range(math.ceil(math.log2((longest or 0) + 2))):
         further = reached.join(hop, ["path", "offset"]).select("path", F.col("exit").alias("offset"))
-        reached = materialize(reached.unionByName(further).distinct(), "reached")
+        before, reached = reached, materialize(reached.unionByName(further).distinct(), "reached")
         ahead = hop.select("path", F.col("offset").alias("exit"), F.col("exit").alias("beyond"))
-        hop = materialize(hop.join(ahead, ["path", "exit"]).select("path", "offset", F.col("beyond").alias("exit")), "hops")
+        last, hop = hop, materialize(hop.join(ahead, ["path", "exit"]).select("path", "offset", F.col("beyond").alias("exit")), "hops")
+        discard(before, last)
+    if strict:
+        broken = files.join(reached.select("path", F.col("offset").alias("length")), ["path", "length"], "left_anti").limit(5).collect()
+        if broken:
+            raise ValueError(f"records do not reach the end of {[r['path'] for r in broken]}")
     entry = reached.join(jump, ["path", "offset"]).groupBy("path", "split").agg(F.min("offset").alias("entry"))
     return found.join(entry, ["path", "split"]).select(*_FIELDS, "entry").groupBy("path", "split").applyInArrow(_walk, CANDIDATE)
 

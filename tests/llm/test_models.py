@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,116 @@ def test_line_verdicts(spark, labels):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.3
 
 
+def test_crf_against_all_paths():
+    """Likelihood by adding up all labellings of a text, gradient by differences, for texts of unlike lengths."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    per_doc = np.array([3, 0, 1, 5, 2, 3])
+    n, f = int(per_doc.sum()), 3
+    x, y = rng.normal(size=(n, f)), rng.integers(0, 2, n)
+    chains = line_rules._Chains(per_doc)
+    assert sorted(chains.order) == list(range(n))
+
+    def by_paths(theta):
+        w, trans, at, total = theta[:-4].reshape(f, 2), theta[-4:].reshape(2, 2), 0, 0.0
+        for k in per_doc.tolist():
+            weigh = lambda p, at=at: sum(x[at + i] @ w[:, c] for i, c in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False))
+            if k:
+                total += weigh(y[at : at + k].tolist()) - math.log(sum(math.exp(weigh(p)) for p in product((0, 1), repeat=k)))
+            at += k
+        return total
+
+    for _ in range(5):
+        theta = rng.normal(size=2 * f + 4)
+        value, g = line_rules.likelihood(x[chains.order], y[chains.order], chains, theta)
+        steps = np.eye(len(theta)) * 1e-5
+        assert value == pytest.approx(by_paths(theta)) and g == pytest.approx([(by_paths(theta + e) - by_paths(theta - e)) / 2e-5 for e in steps], abs=1e-6)
+
+
+def test_language_sets_by_enumeration():
+    """On small texts the chosen set and its proportions are those of the best of all sets, each run by plain EM."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    langs, letters = ["a", "b", "c", "d"], "abcdefghij"
+    parts = [letters[0:4], letters[2:6], letters[5:9], letters[6:10]]
+    text = lambda k, n: " ".join("".join(rng.choice(list(parts[k]), 5)) for _ in range(n))
+    counts = np.full((4, 1 << language.BITS), 0.05)
+    for k in range(4):
+        w = language.Words(pa.array([text(k, 3000)]), language._LETTERS)
+        counts[k] += np.bincount(language._grams(w)[w.bytes != 32], minlength=1 << language.BITS)
+    model = {"langs": langs, "logp": np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)}
+    texts = [text(0, 8), text(1, 30), text(0, 20) + " " + text(2, 20), text(1, 12) + " " + text(3, 30), text(0, 15) + " " + text(2, 25) + " " + text(3, 15), text(3, 1)]
+    got, several = language.mixtures(pa.array(texts), model), 0
+    for t, mine in zip(texts, got, strict=True):
+        like = []
+        for word in t.split():
+            w = language.Words(pa.array([word]), language._LETTERS)
+            like.append(model["logp"][:, language._grams(w)].astype(float).sum(axis=1))
+        like = np.exp(np.array(like) - np.max(like, axis=1, keepdims=True))
+        best = None
+        for size in range(1, 5):
+            for some in combinations(range(4), size):
+                p = np.full(size, 1 / size)
+                for _ in range(300):
+                    share = like[:, some] * p
+                    p = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+                cost = size * math.log(max(2, len(like))) - 2 * np.log((like[:, some] * p).sum(axis=1)).sum()
+                if best is None or cost < best[0]:
+                    best = cost, some, p
+        assert tuple(np.flatnonzero(mine)) == best[1] and mine[list(best[1])] == pytest.approx(best[2], abs=0.02)
+        several += len(best[1]) > 1
+    assert several >= 3
+
+
+def plain_toxicity(text, words, beginnings, w):
+    """Score by distances of every word to every lexicon entry, and by reading the marks around each match."""
+    tokens = (text or "").lower().split()
+    opens = [bool(re.match(r"[(\[]*[\"'‘’‚“”„«»‹›]", t)) for t in tokens]
+    closes = [bool(re.search(r"[\"'‘’‚“”„«»‹›][)\].,;:!?]*$", t)) for t in tokens]
+    sums, hits = [0.0] * 7, []
+    for i, token in enumerate(tokens):
+        kinds = []
+        for part in re.findall(r"[^\W_]+", token):
+            near = [distance(part, t) for t in words if distance(part, t) <= toxicity.edits(t)]
+            starts = any(part.startswith(b) for b in beginnings)
+            kinds.append(1 if 0 in near else 3 if starts else 2 if near else 0)
+        kind = min((k for k in kinds if k), default=0)
+        if not kind:
+            continue
+        before = [j for j in range(max(0, i - 12), i + 1) if opens[j] or (j < i and closes[j])]
+        after = [j for j in range(i, min(len(tokens), i + 13)) if closes[j] or (j > i and opens[j])]
+        quoted = bool(before) and bool(after) and opens[before[-1]] and closes[after[0]]
+        sums[kind - 1 + 3 * quoted] += 2.0
+        hits.append(i)
+    if len(hits) > 1:
+        sums[6] = max(sum(a <= b <= a + 12 for b in hits) for a in hits) - 1
+    z = sum(math.log1p(v) * x for v, x in zip(sums, w, strict=False)) + w[-1]
+    return 1 / (1 + math.exp(-z)), hits
+
+
+def test_toxicity_by_brute_force(spark):
+    words, beginnings = ["idiot", "scum", "pathetic", "worthless"], ["lowl"]
+    w = np.array([1.5, 1.0, 0.7, 0.2, 0.1, 0.05, 0.4, -1.2])
+    rng, vocabulary = np.random.default_rng(9), ["idiot", "ldiot", "idoit", "idiots", "scum", "skum", "pathetic,", "(patetic)", "wrthles", "lowlife", "low", "day", "fine", "said", '"you', 'idiot"', "“scum”.", "it's", "x_scum", "«", "»", "ídiot"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 40))) for _ in range(150)] + [None, "", '"', "fine " * 30 + '"scum ' + "day " * 30 + '"']
+    model = {"lexicon": {"words": dict.fromkeys(words, 2.0), "beginnings": dict.fromkeys(beginnings, 2.0)}, "w": w}
+    rows = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        score, hits = plain_toxicity(texts[r["doc_id"]], words, beginnings, w.tolist())
+        assert r["score"] == pytest.approx(score) and [m["position"] for m in r["matches"]] == hits, texts[r["doc_id"]]
+    assert len({round(r["score"], 6) for r in rows}) > 50
+
+
+def test_shared_ids_do_not_widen_the_sample(spark):
+    """A labelled id that a thousand rows share gives one row to learn from."""
+    docs = spark.createDataFrame([(1, f"bad word {i}") for i in range(1000)] + [(2, "fine"), (3, "fine too")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 1)], "doc_id long, toxic int, quality int")
+    assert toxicity.train(docs, labels, F.lit(True))["lexicon"] == {"words": {}, "beginnings": {}}  # one toxic document is too few
+    assert line_rules.train(docs, labels)["w"].shape == (line_rules.N_FEATURES, 2)
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 

@@ -4,6 +4,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from lexirank.llm import warc
 from lexirank.llm.warc import read_warc, warc_round_trip, write_warc
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
@@ -62,3 +65,36 @@ def test_long_urls(spark, tmp_path):
     for split in (4 << 20, 50_000):
         got = {x["page_id"]: x["payload_bytes"] for x in read_warc(spark, str(tmp_path / "w"), split_bytes=split).collect()}
         assert got == {i: len(h.encode()) for i, _, h in rows}
+
+
+def test_long_url_across_ranges(spark, tmp_path):
+    """A url of a megabyte spans many ranges; no record after it is lost."""
+    rows = [(i, "http://x/" + "u" * (1_000_000 if i in (2, 9) else 20), f"<p>{i}</p>" * (i % 5)) for i in range(20)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    for split in (4 << 20, 100_000):
+        got = {x["page_id"]: x["payload_bytes"] for x in read_warc(spark, str(tmp_path / "w"), split_bytes=split).collect()}
+        assert got == {i: len(h) for i, _, h in rows}
+
+
+def test_damage_is_an_error(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i}</p>") for i in range(50)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    file = next((tmp_path / "w").glob("part-*"))
+    whole = file.read_bytes()
+    for cut in (whole[:-3], whole.replace(b"<p>9</p>", b"<p>9</p"), b"x" + whole):
+        file.write_bytes(cut)
+        (tmp_path / "w" / f".{file.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(ValueError, match="do not reach"):
+            read_warc(spark, str(tmp_path / "w"))
+    file.write_bytes(whole[:-3])
+    assert read_warc(spark, str(tmp_path / "w"), strict=False).count() == 49
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_many_groups_of_copies(spark, tmp_path, monkeypatch, most):
+    """Beyond the bound for broadcasting, hot payloads are still told apart, and the result is the same."""
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", most)
+    rows = [(i, "u", "" if i % 3 == 0 else f"<{i % 40}>" if i % 3 == 1 else f"<<{i}>>") for i in range(600)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    last = {h: i for i, _, h in rows}
+    assert {x["page_id"]: x["refers_to"] for x in read_warc(spark, str(tmp_path / "w")).collect()} == {i: None if last[h] == i else last[h] for i, _, h in rows}
