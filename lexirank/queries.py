@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ DEPTH = 25
 _INNER = 6  # whole words inside a passage that candidates must hold, at most
 #: What is typed where suggestions are asked for: words in all suggestions, a stem of some, and nothing but a stop word.
 TYPED = ("Is the", "is ndsh", "are onre of erin")
-_built: dict[tuple[str, str], tuple[Index, DataFrame, DataFrame, DataFrame]] = {}
+_built: dict[tuple[str, str, str], Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,18 +51,34 @@ def passages(documents: DataFrame, queries: DataFrame) -> DataFrame:
     return both.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id").unionByName(short)
 
 
-def setting(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame, DataFrame, DataFrame]:
-    """Index, queries, query terms and judgments of a data folder, built once in a session, as an index is for a server."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(what: str, spark: SparkSession, sf_dir: str, make: Callable[[], Any]) -> Any:
+    """What a server would keep: made once in a session for a data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _built:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-        index = build_index(docs)
-        queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
-        qrels = materialize(passages(docs.withColumn("doc_id", F.col("doc_id").cast("string")), queries), "qrels")
-        _built[key] = index, queries, materialize(r.query_terms(queries), "query_terms"), qrels
+        _built[key] = make()
     return _built[key]
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    return _once("index", spark, sf_dir, lambda: build_index(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and their terms."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    return queries, _once("terms", spark, sf_dir, lambda: materialize(r.query_terms(queries), "query_terms"))
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return _once("qrels", spark, sf_dir, lambda: materialize(passages(docs, asked(spark, sf_dir)[0]), "qrels"))
+
+
+def setting(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame, DataFrame, DataFrame]:
+    """Index, queries, query terms and judgments of a data folder."""
+    return index_of(spark, sf_dir), *asked(spark, sf_dir), judged(spark, sf_dir)
+
+
 def _six(df: DataFrame) -> DataFrame:
     """Doubles to six digits; a negative zero becomes zero."""
     return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -69,7 +86,7 @@ def _six(df: DataFrame) -> DataFrame:
 
 def _ranking(model: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index, _, terms, _ = setting(spark, sf_dir)
+        index, (_, terms) = index_of(spark, sf_dir), asked(spark, sf_dir)
         return _six(r.RANKERS[model](index, terms, DEPTH).select("query_id", "doc_id", "rank", "score"))
 
     return run
@@ -86,29 +103,29 @@ def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _six(setting(spark, sf_dir)[0].docs.select("pos", "doc_id", "dl", "norm"))
+    return _six(index_of(spark, sf_dir).docs.select("pos", "doc_id", "dl", "norm"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _six(setting(spark, sf_dir)[0].corpus)
+    return _six(index_of(spark, sf_dir).corpus)
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = setting(spark, sf_dir)[0].terms
+    terms = index_of(spark, sf_dir).terms
     return terms.select("term", "df", "ctf", *(F.round(c, 6).alias(c) for c in ("idf_standard", "idf_smooth", "idf_bm25", "bim_pt", "p_collection")), (F.round("idf_bim", 6) + 0.0).alias("idf_bim"))
 
 
 def postings_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _six(setting(spark, sf_dir)[0].postings.select("term", "pos", "tf", "tfidf", "dl"))
+    return _six(index_of(spark, sf_dir).postings.select("term", "pos", "tf", "tfidf", "dl"))
 
 
 def rocchio_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, _, terms, _ = setting(spark, sf_dir)
+    index, (_, terms) = index_of(spark, sf_dir), asked(spark, sf_dir)
     return _six(r.rocchio_expansions(index, terms))
 
 
 def rm3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, _, terms, _ = setting(spark, sf_dir)
+    index, (_, terms) = index_of(spark, sf_dir), asked(spark, sf_dir)
     return _six(r.rm3_weights(index, terms))
 
 
@@ -136,7 +153,7 @@ def bm25_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setting(spark, sf_dir)[3]
+    return judged(spark, sf_dir)
 
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +164,14 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str, model: str, depth: int = DEPTH) -> DataFrame:
     """What is explained: the model's own ranking of each query, and the corpus's first document, which it seldom has."""
-    index, _, terms, _ = setting(spark, sf_dir)
+    index, (_, terms) = index_of(spark, sf_dir), asked(spark, sf_dir)
     first = terms.select("query_id").distinct().crossJoin(F.broadcast(index.docs.where("pos = 0").select("doc_id")))  # one row
     return materialize(r.RANKERS[model](index, terms, depth).select("query_id", "doc_id").unionByName(first).distinct(), "pairs")
 
 
 def _explanation(model: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index, _, terms, _ = setting(spark, sf_dir)
+        index, (_, terms) = index_of(spark, sf_dir), asked(spark, sf_dir)
         pairs = _pairs(spark, sf_dir, model)
         if model == "hybrid_rrf":
             return _six(ex.explain_fusion(index, terms, pairs))
