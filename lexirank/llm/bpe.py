@@ -57,7 +57,10 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars = _byte_of_char()
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take spaces or whole words only are not supported")
+        self.special = {t["content"]: t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))}  # of those that begin alike the longest is tried first
         vocab = spec["model"]["vocab"]
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.bytes: list[bytes] = [b""] * size
