@@ -113,12 +113,12 @@ class Block:
     """An inverted index over some sets, and the T-occurrence search in it."""
 
     def __init__(self, keys: list[np.ndarray], sizes: np.ndarray, percent: int):
-        self.sizes, self.percent = sizes, percent
+        self.sizes, self.percent, self.n = sizes, percent, max(1, len(keys))
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
         order = np.argsort(flat, kind="stable")
-        self.terms, begin = np.unique(flat[order], return_index=True)
-        self.begin, self.posts = np.append(begin, len(flat)), owner[order]
+        self.terms, list_of = np.unique(flat[order], return_inverse=True)
+        self.posts = list_of * self.n + owner[order]  # the lists end to end, each posting with its list's number
 
     def lists(self, key: np.ndarray) -> np.ndarray:
         """Numbers of the inverted lists of a set's shingles."""
@@ -130,53 +130,70 @@ class Block:
         return 100 * overlap >= self.percent * (size + other - overlap)
 
     def linked(self, key: np.ndarray, size: int, allowed: np.ndarray) -> Iterator[int]:
-        """The sets among allowed (a mask over the sets) that link, in order, by DivideSkip: the heap merges the short
-        lists for sets that may still reach the threshold, and the long lists are probed for those."""
+        """The sets among allowed (a mask over the sets) that link, in order. The sets are searched in runs that grow, so
+        a search that may end at its first link seldom reads all of the lists."""
         allowed = allowed & (100 * np.minimum(size, self.sizes) >= self.percent * np.maximum(size, self.sizes))
+        lists, first, width = self.lists(key), 0, 32
+        while first < len(allowed):
+            if allowed[first : first + width].any():
+                yield from self._linked(lists, size, allowed, first, min(len(allowed), first + width))
+            first, width = first + width, 4 * width
+
+    def _linked(self, lists: np.ndarray, size: int, allowed: np.ndarray, first: int, end: int) -> Iterator[int]:
+        """The same among the sets from first to end - 1, by DivideSkip: the heap merges the short lists for sets that may
+        still reach the threshold, and the long lists are probed for those."""
         least = -(-self.percent * size // 100)
-        lists = [self.posts[self.begin[i] : self.begin[i + 1]] for i in self.lists(key)]
-        lists = [x for x in (x[allowed[x]] for x in lists) if len(x)] if len(lists) >= least else []
-        if len(lists) < least:
+        begin = np.searchsorted(self.posts, lists * self.n + first)
+        length = np.searchsorted(self.posts, lists * self.n + end) - begin
+        posts = self.posts[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        posts = posts[allowed[posts % self.n]]
+        begin = np.searchsorted(posts, lists * self.n)
+        length = np.diff(np.append(begin, len(posts)))
+        order = np.argsort(length, kind="stable")[np.count_nonzero(length == 0) :]  # lists with a posting, the shortest first
+        if len(order) < least:
             return
-        lists.sort(key=len)
-        n_long = min(least - 1, int(least / (MU * math.log2(len(lists[-1]) + 1) + 1)))
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        pairs, batch = merge_skip([x.tolist() for x in short], least - n_long), 4
+        n_long = min(least - 1, int(least / (MU * math.log2(int(length[order[-1]]) + 1) + 1)))
+        short, long = order[: len(order) - n_long], lists[order[len(order) - n_long :]][::-1] * self.n
+        sets = (posts % self.n).tolist()
+        pairs, batch = merge_skip([sets[begin[i] : begin[i] + length[i]] for i in short], least - n_long), 4
         while some := list(islice(pairs, batch)):
-            sets, overlap = (np.array(x, np.int64) for x in zip(*some, strict=True))
-            for left, row in zip(range(n_long - 1, -1, -1), reversed(long), strict=True):
-                at = np.minimum(np.searchsorted(row, sets), len(row) - 1)
-                overlap = overlap + (row[at] == sets)
-                keep = overlap + left >= least  # sets that can no longer reach the threshold drop out
-                sets, overlap = sets[keep], overlap[keep]
-                if not len(sets):
+            found, overlap = (np.array(x, np.int64) for x in zip(*some, strict=True))
+            for i in range(0, n_long, 32):  # the longest first; sets that can no longer reach the threshold drop out
+                asked = long[i : i + 32, None] + found
+                at = np.minimum(np.searchsorted(posts, asked), len(posts) - 1)
+                overlap = overlap + (posts[at] == asked).sum(axis=0)
+                keep = overlap + max(0, n_long - i - 32) >= least
+                found, overlap = found[keep], overlap[keep]
+                if not len(found):
                     break
-            yield from sets[self.links(size, overlap, self.sizes[sets])].tolist()
+            yield from found[self.links(size, overlap, self.sizes[found])].tolist()
             batch = min(4 * batch, 1024)
 
 
 def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
     """(number, count) of the numbers that need or more of the sorted lists hold: a heap of the lists' heads, in which
-    heads that cannot be held by enough lists are skipped to the first number that can."""
-    heads = [(x[0], i, 0) for i, x in enumerate(lists)]
+    heads that cannot be held by enough lists are skipped to the first number that can. A head is one integer, the number
+    times the lists plus the list."""
+    n = len(lists)
+    heads, at = [x[0] * n + i for i, x in enumerate(lists)], [0] * n
     heapq.heapify(heads)
     while len(heads) >= need:
-        top, popped = heads[0][0], []
-        while heads and heads[0][0] == top:
-            popped.append(heapq.heappop(heads))
+        top, popped = heads[0] // n, []
+        while heads and heads[0] < (top + 1) * n:
+            popped.append(heapq.heappop(heads) % n)
         if len(popped) >= need:
             yield top, len(popped)
             goal = top + 1
         else:
             while len(popped) < need - 1 and heads:
-                popped.append(heapq.heappop(heads))
+                popped.append(heapq.heappop(heads) % n)
             if not heads:
                 return
-            goal = heads[0][0]
-        for _, i, p in popped:
-            p = bisect_left(lists[i], goal, p)
+            goal = heads[0] // n
+        for i in popped:
+            at[i] = p = bisect_left(lists[i], goal, at[i])
             if p < len(lists[i]):
-                heapq.heappush(heads, (lists[i][p], i, p))
+                heapq.heappush(heads, lists[i][p] * n + i)
 
 
 class _Labels:
