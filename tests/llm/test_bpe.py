@@ -62,3 +62,22 @@ def test_bytes_that_are_no_text(spark):
     runs = spark.createDataFrame([(1, [163]), (2, None), (3, [None, 39])], "doc_id long, ids array<int>")
     got = {x["doc_id"]: x["decoded"] for x in bpe_decode(runs, PATH).collect()}
     assert got == {1: Tokenizer.from_file(PATH).decode([163]), 2: "", 3: "H"}
+
+
+def test_special_tokens_that_begin_alike(tmp_path):
+    """The longest one counts, as in the library; flags that are not supported are refused."""
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    plain = spec["added_tokens"][0]
+    spec["added_tokens"] += [plain | {"content": c, "id": plain["id"] + i} for i, c in enumerate(("<|a", "<|a|>", "<|a|>b"), 1)]
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    vocab, library = Vocabulary(str(path)), Tokenizer.from_file(str(path))
+    some = ["x<|a|>bc", "<|a|> <|a|b", "<|a<|a|><|endoftext|>", "<|<|a"]
+    tokens, counts = vocab.encode(some)
+    assert tokens.tolist() == [i for t in some for i in library.encode(t, add_special_tokens=False).ids] and len(counts) == len(some)
+    spec["added_tokens"][1]["lstrip"] = True
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="not supported"):
+        Vocabulary(str(path))
