@@ -115,6 +115,12 @@ def query_echo(text: Column, limit: int = 140) -> Column:
     return _cut(_one_line(text), limit, limit)
 
 
+def shown_number(x: Column) -> Column:
+    """A number with two decimals from 100 on, four from 1 on, else six, by its size without the sign; a dash for null."""
+    digits = lambda n: F.replace(F.format_number(x, n), F.lit(","), F.lit(""))
+    return F.when(F.abs(x) >= 100, digits(2)).when(F.abs(x) >= 1, digits(4)).otherwise(F.coalesce(digits(6), F.lit("—")))
+
+
 def is_question(text: Column) -> Column:
     """Ends with a question mark, or begins with a question word."""
     t = _strip(F.coalesce(text, F.lit("")))

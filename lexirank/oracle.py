@@ -326,6 +326,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, cast(unnest(range(len(l))) AS INTEGER) AS place, unnest(l) AS paragraph FROM o""",
         "segments": _segments(),
     }
+    out["rank_lookup"] = _with([*_INDEX, _QRELS], f"SELECT query_id, doc_id, rank, coalesce(round(score, 6), 0) AS score FROM qrels LEFT JOIN ({_ranking('bm25', 25)[1]}) USING (query_id, doc_id)")
+    out["eval_report"] = _with([*_INDEX, _QRELS, _TOTALS], f"SELECT query_id, left(text, 60) AS query, round(ap, 6) AS ap, round(p5, 6) AS p5, round(p10, 6) AS p10, round(ndcg10, 6) AS ndcg10 FROM ({_metric_rows(_ranking('bim', 25)[1])}) JOIN (SELECT cast(item_id AS VARCHAR) AS query_id, text FROM benchmark) USING (query_id)")
+    two = " UNION ALL ".join(f"SELECT query_id, pos, {i} AS ranker, rank, 1.0::DOUBLE / (60 + rank) AS component FROM ({_ranking(m, 50)[1]})" for i, m in enumerate(("lm_dirichlet", "bim")))
+    sums = f"SELECT query_id, pos, coalesce(max(CASE WHEN ranker = 0 THEN component END), 0) + coalesce(max(CASE WHEN ranker = 1 THEN component END), 0) AS score, min({{'a': ranker, 'r': rank}}) AS met FROM ({two}) GROUP BY ALL"
+    out["own_fusion"] = _with(_INDEX, f"SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({_top(sums, 25, 'score DESC, met')})")
+    id_, text = "cast(item_id AS VARCHAR)", _strip("text")
+    ways = [("'@' || id", "id", "text"), ("id || ' | ' || text", "id", text), ("id || chr(9) || text", "id", text), ("id || ': ' || text", "id", text), ("'  ' || text", "NULL", text), ("'@none' || id", "NULL", "''")]
+    out["labelled_queries"] = " UNION ALL ".join(f"SELECT {line} AS line, {label} AS label, {shown} AS text FROM (SELECT {id_} AS id, text FROM benchmark)" for line, label, shown in ways)
+    out["shown_scores"] = _with(_INDEX, f"SELECT query_id, doc_id, CASE WHEN abs(s) >= 100 THEN printf('%.2f', s) WHEN abs(s) >= 1 THEN printf('%.4f', s) ELSE printf('%.6f', s) END AS shown FROM (SELECT *, round(score, 9) AS s FROM ({_ranking('bm25', 25)[1]}))")
     models = ("bm25", "vsm", "bim", "lm_dirichlet", "hybrid_rrf", "rocchio_prf", "rm3")
     for model in models:
         ctes, select = _ranking(model, 25)

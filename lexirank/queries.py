@@ -13,7 +13,7 @@ from .operators import evaluate as ev
 from .operators import explain as ex
 from .operators import rank as r
 from .plans.index import Index, build_index
-from .plans.search import depth_needed, page_rows, suggestions
+from .plans.search import depth_needed, page_rows, parse_labeled_queries, suggestions
 from .storage import materialize
 
 DEPTH = 25
@@ -180,6 +180,38 @@ def _explanation(model: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank and score of every judged document by BM25, null and 0 for those it does not return."""
+    index, _, terms, qrels = setting(spark, sf_dir)
+    return _six(ex.rank_of(r.bm25(index, terms, DEPTH), qrels))
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-query report of a ranker that is passed as a function."""
+    index, queries, _, qrels = setting(spark, sf_dir)
+    return _six(ev.report(ev.evaluate(index, queries, qrels, r.bim, DEPTH), queries))
+
+
+def own_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion of rankers of the caller's."""
+    index, (_, terms) = index_of(spark, sf_dir), asked(spark, sf_dir)
+    return _six(r.rrf(index, terms, DEPTH, [r.lm_dirichlet, r.bim]).select("query_id", "doc_id", "rank", "score"))
+
+
+def labelled_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and texts of lines in all the ways to write them, made from the benchmark."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    ways = [F.concat(F.lit("@"), "query_id"), F.concat_ws(" | ", "query_id", "text"), F.concat_ws("\t", "query_id", "text"), F.concat_ws(": ", "query_id", "text"), F.concat(F.lit("  "), F.col("text")), F.concat(F.lit("@none"), "query_id")]
+    lines = queries.select(F.explode(F.array(*ways)).alias("line"))
+    return parse_labeled_queries(lines, queries).select("line", "label", "text")
+
+
+def shown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25's scores as they are shown."""
+    index, (_, terms) = index_of(spark, sf_dir), asked(spark, sf_dir)
+    return r.bm25(index, terms, DEPTH).select("query_id", "doc_id", T.shown_number(F.round("score", 9)).alias("shown"))
+
+
 def title_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, doc_id = F.col("text"), F.col("doc_id").cast("string")
     return table(spark, sf_dir, "documents").select(doc_id.alias("doc_id"), T.title(doc_id, text).alias("title"), T.snippet(text).alias("snippet"), T.console_snippet(text).alias("console"), T.query_echo(text).alias("echo"), F.length(text).cast("long").alias("chars"))
@@ -216,7 +248,7 @@ def suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokens_filtered, stems, doc_stats, corpus_stats, term_stats, postings_tfidf, rocchio_terms, rm3_terms, judged_pairs, eval_per_query, eval_means, model_comparison, bm25_grid, search_page,
+        tokens_filtered, stems, doc_stats, corpus_stats, term_stats, postings_tfidf, rocchio_terms, rm3_terms, judged_pairs, eval_per_query, eval_means, model_comparison, bm25_grid, search_page, rank_lookup, eval_report, own_fusion, labelled_queries, shown_scores,
         title_snippet, question_filter, segments, paragraph_split, suggest,
     )
 }

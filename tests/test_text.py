@@ -61,3 +61,8 @@ def test_fuzzy():
     assert T.fuzzy_score("What", "what is") == 1.0
     assert T.fuzzy_score("", "what") == 0.0
     assert 0 < T.fuzzy_score("whut", "what is") < 1
+
+
+def test_shown_numbers(spark):
+    rows = spark.createDataFrame([(x,) for x in (None, 0.0, 0.1234567, -1.0, 99.99999, 12345.678, -100.5)], "x double")
+    assert [r["s"] for r in rows.select(T.shown_number(F.col("x")).alias("s")).collect()] == ["—", "0.000000", "0.123457", "-1.0000", "100.0000", "12345.68", "-100.50"]
