@@ -75,7 +75,7 @@ class _Chunk:
         return (sums[self.begin[1:]] - sums[self.begin[:-1]]).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, chunk_mb: float = 12) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, chunk_mb: float = 6) -> DataFrame:
     """One row per document: its set's size n and digest, and, if it can have links, its shared shingles and its prefix.
 
     common: shingles that another document may hold; keys: those, sorted; prefix: those of them that the document posts.

@@ -59,7 +59,7 @@ def _left_out(words: Words, at: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(cover)[: len(words.start)] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 35, chunk_mb: float = 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 35, chunk_mb: float = 6) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its other words, joined by one space).
 
     chunk_mb: megabytes of text in a chunk; they bound the memory of a task.
