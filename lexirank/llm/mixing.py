@@ -6,7 +6,9 @@ that fall into a source's share are counted in the shard's row. A source's count
 stretched to the blocks that its target stands for, so it comes within a block of it rather than within sampling noise. A source's
 slots map to its blocks by a pseudorandom permutation of block indices, one epoch after another; a block is joined to its
 slots by index, from the block's side: the permutation is inverted, and the block is taken in each epoch in which its slot
-was drawn. So no row is made for a slot, and nothing but a row per shard and source moves to find out what is taken.
+was drawn, by the shard that drew it. Documents are joined to the taken blocks by index too: what is taken of a document
+is what is taken of the blocks it lies in. That moves one small row for each block taken and one for each document's
+piece of a block.
 
 Nothing is gathered by source: offsets come from sums over (source, bucket of rows), so a source with any share of the
 rows is spread over all buckets, and rows that repeat are one row with a number until the end.
@@ -27,6 +29,8 @@ from .common import materialize, word_count
 
 #: Rows that a bucket of offsets stands for, and copies of a row that are told apart in one go.
 BUCKET_ROWS, COPIES = 50_000, 1 << 15
+#: Slots that have one key where blocks are joined to their shards, blocks that are unrolled in one go and by one task.
+RUN, UNROLL, TASK_BLOCKS = 64, 1 << 12, 1 << 18
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
@@ -127,30 +131,28 @@ def shard_slots(drawn: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_blocks(plan: DataFrame, shard_blocks: int = 4096, seed: int = 0) -> DataFrame:
-    """(shard, src, epoch, block) for every block of the mix, for writing it out: one row for each block that is taken.
-    Blocks find their shard by index: a slot's run of shard_blocks and the runs that a shard's slots touch are the key."""
+    """(shard, src, epoch, block) for every block of the mix: one row for each block that is taken. Blocks find their shard
+    by index: a slot's run of RUN slots and the runs that a shard's slots touch are the key. Tables that grow by unrolling
+    look small to the planner, so the join is told to sort rather than to broadcast, and the number of tasks is given."""
     runs = shard_slots(materialize(draws(plan, shard_blocks, seed), "draws"), plan).where("upto > first")
-    runs = runs.withColumn("run", F.explode(F.sequence(F.floor(F.col("first") / shard_blocks), F.floor((F.col("upto") - 1) / shard_blocks))))
+    runs = runs.withColumn("run", F.explode(F.sequence(F.expr(f"first div {RUN}"), F.expr(f"(upto - 1) div {RUN}"))))
     epochs = plan.where("n_slots > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n_slots - 1) div n_blocks"))))
     epochs = epochs.withColumn("points", points(F.col("n_blocks"), F.struct("src", "epoch"), seed))
-    step = F.expr(f"(n_blocks - 1) div {COPIES}")
-    parts = epochs.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), step))).repartition("src", "epoch", "_part")
-    blocks = parts.withColumn("block", F.explode(F.sequence(F.col("_part") * COPIES, F.least(F.col("n_blocks"), (F.col("_part") + 1) * COPIES) - 1)))
+    step = F.expr(f"(n_blocks - 1) div {UNROLL}")
+    tasks = max(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), (plan.agg(F.sum("n_slots")).first()[0] or 0) // TASK_BLOCKS)
+    parts = epochs.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), step))).repartition(tasks, "src", "epoch", "_part")
+    blocks = parts.withColumn("block", F.explode(F.sequence(F.col("_part") * UNROLL, F.least(F.col("n_blocks"), (F.col("_part") + 1) * UNROLL) - 1)))
     slot = F.col("epoch") * F.col("n_blocks") + permuted(F.col("block"), F.col("n_blocks"), F.reverse("points"), seed)
-    blocks = blocks.withColumn("slot", slot).where("slot < n_slots").select("src", "epoch", "block", "slot", F.floor(F.col("slot") / shard_blocks).alias("run"))
-    return blocks.join(runs, ["src", "run"]).where("slot >= first AND slot < upto").select("shard", "src", "epoch", "block")
+    blocks = blocks.withColumn("slot", slot).where("slot < n_slots").select("src", "epoch", "block", "slot", F.expr(f"slot div {RUN}").alias("run"))
+    return blocks.join(runs.hint("merge"), ["src", "run"]).where("slot >= first AND slot < upto").select("shard", "src", "epoch", "block")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, block_words: int = 64, shard_blocks: int = 4096, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), and the columns
-    that carry names."""
+    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted), n_shards (output
+    shards that take words of it), and the columns that carry names."""
     sized = materialize(sizes(docs, id_col, text_col, source_col, carry), "sizes")
     goal = materialize(targets(sized, weights, cap), "targets")
-    plan = block_plan(goal, cap, block_words)
-    taken = shard_slots(materialize(draws(plan, shard_blocks, seed), "draws"), plan).groupBy("src").agg(F.sum(F.col("upto") - F.col("first")).alias("slots"))
-    # every block is in the first `full` epochs, and in the next one if the permutation brings it among the last `rest` slots
-    plan = plan.join(taken, "src").select("src", "n_blocks", F.expr("slots div n_blocks").alias("full"), F.expr("slots % n_blocks").alias("rest"))
-    plan = materialize(plan.withColumn("points", F.reverse(points(F.col("n_blocks"), F.struct("src", F.col("full").alias("epoch")), seed))), "plan")
+    blocks = mixed_blocks(block_plan(goal, cap, block_words), shard_blocks, seed).select("src", "block", "shard")
 
     known = goal.withColumnRenamed("source", "_source")
     own = ["doc_id", "size", *carry]
@@ -161,21 +163,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = ahead(rows.groupBy("src", "_bucket").agg(F.sum("_words").alias("words")), ["src"], "_bucket", "words", "_base").drop("words")
     inside = Window.partitionBy("src", "_bucket").orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_lo", F.coalesce(F.sum("_words").over(inside), F.lit(0)))
-    rows = rows.join(start, ["src", "_bucket"]).withColumn("_lo", F.col("_lo") + F.col("_base")).join(plan, "src", "left")
+    rows = rows.join(start, ["src", "_bucket"]).withColumn("_lo", F.col("_lo") + F.col("_base"))
 
     part = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {COPIES}"))))
     part = part.where("_part = 0").unionByName(part.where("_part > 0").repartition("_part", *own))
     each = part.withColumn("_copy", F.explode(F.sequence(F.col("_part") * COPIES, F.least(F.col("_copies"), (F.col("_part") + 1) * COPIES) - 1)))
     each = each.withColumn("_lo", F.col("_lo") + F.col("_copy") * F.col("size"))
-
-    def words(total: Column, block: Column) -> Column:
-        inter = F.least(F.col("_lo") + F.col("size"), (block + 1) * block_words) - F.greatest(F.col("_lo"), block * block_words)
-        again = permuted(block, F.col("n_blocks"), F.col("points"), seed) < F.col("rest")
-        return total + (F.col("full") + again.cast("long")) * inter
-
-    reach = F.sequence(F.expr(f"_lo div {block_words}"), F.expr(f"(_lo + size - 1) div {block_words}"))
-    got = F.when(F.col("size") > 0, F.aggregate(reach, F.lit(0).cast("long"), words)).otherwise(F.lit(0).cast("long"))
-    return each.select("doc_id", "source", "size", "source_size", "target", F.coalesce(got, F.lit(0).cast("long")).alias("taken"), *carry)
+    each = materialize(each.select("src", "_lo", "doc_id", "source", "size", "source_size", "target", *carry), "offsets")
+
+    # a document with words is told apart by its offset; it lies in the blocks from `first` to `last`
+    whole = each.where("size > 0").select("src", "_lo", "size", F.expr(f"_lo div {block_words}").alias("first"), F.expr(f"(_lo + size - 1) div {block_words}").alias("last"))
+    long = whole.withColumn("from", F.explode(F.sequence("first", "last", F.lit(UNROLL).cast("long"))))
+    long = long.where("from = first").unionByName(long.where("from > first").repartition(n_buckets, "src", "from"))
+    pieces = long.withColumn("block", F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + UNROLL - 1))))
+    words = F.least(F.col("_lo") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("_lo"), F.col("block") * block_words)
+    got = pieces.select("src", "_lo", "block", words.alias("words")).join(blocks.hint("merge"), ["src", "block"])
+    got = got.groupBy("src", "_lo", "shard").agg(F.sum("words").alias("words"))
+    got = got.groupBy("src", "_lo").agg(F.sum("words").alias("_taken"), F.count("*").alias("_shards"))
+
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(name) for c, name in (("_taken", "taken"), ("_shards", "n_shards"))]
+    none = [F.lit(0).cast("long").alias(name) for name in ("taken", "n_shards")]
+    shown = ["doc_id", "source", "size", "source_size", "target"]
+    found = each.where("size > 0").join(got.hint("merge"), ["src", "_lo"], "left").select(*shown, *counts, *carry)
+    return found.unionByName(each.where("size = 0").select(*shown, *none, *carry))
 
 
 def whole_copies(mixed: DataFrame, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:

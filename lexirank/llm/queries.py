@@ -66,7 +66,7 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def line_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,6 +155,35 @@ def test_blocks_are_what_documents_give(spark):
         assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 64
 
 
+def test_documents_get_what_shards_drew(spark, monkeypatch):
+    """A document for each source: its shards are those whose plain draws, stretched to the plan, give its source a slot,
+    and its words are those of the blocks that were drawn."""
+    sizes = {"a": 6400, "b": 3000, "c": 3207, None: 900, "z": 0}
+    order = ["a", "b", "c", "z", None]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * sizes[s]), s) for i, s in enumerate(order)], "doc_id long, text string, source string")
+    goal = water(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
+    blocks = {s: -(-sizes[s] // 64) for s in order if sizes[s]}
+    slots = {s: min(round(goal[s] * n / sizes[s]), 3 * n) for s, n in blocks.items()}
+    total, drawn = sum(slots.values()), {s: [] for s in slots}
+    for shard in range(-(-total // 10)):
+        marks, at = [spark_hash(5, (shard, "<q"), (i, "<i")) % total for i in range(1, min(10, total - shard * 10) + 1)], 0
+        for s, n in slots.items():
+            drawn[s].append(sum(at <= m < at + n for m in marks))
+            at += n
+    shards = {s: sum(sum(n[: h + 1]) * slots[s] // sum(n) > sum(n[:h]) * slots[s] // sum(n) for h in range(len(n))) for s, n in drawn.items()}
+    assert min(shards.values()) < len(drawn["a"])
+    got = {x["source"]: x for x in mixing.mix_sources(docs, shard_blocks=10, seed=5).collect()}
+    assert {s: x["n_shards"] for s, x in got.items()} == shards | {"z": 0} and got["z"]["taken"] == 0
+
+    every = mixing.mixed_blocks
+    monkeypatch.setattr(mixing, "mixed_blocks", lambda *plan: every(*plan).where("block % 2 = 0"))
+    plan = mixing.block_plan(mixing.targets(mixing.sizes(docs)), 3.0, 64)
+    left = Counter()
+    for x in every(plan, 10, 5).where("block % 2 = 0").join(plan, "src").collect():
+        left[x["source_size"]] += min(64, x["source_size"] - 64 * x["block"])
+    assert {x["size"]: x["taken"] for x in mixing.mix_sources(docs, shard_blocks=10, seed=5).collect()} == {n: left[n] for n in sizes.values()}
+
+
 def test_offsets(spark):
     rows = [(s, i, (i * 7 + s) % 11) for s in range(2) for i in range(0, 30_000, 3)]
     got = mixing.ahead(spark.createDataFrame(rows, "s int, i long, v long"), ["s"], "i", "v", "at").collect()
