@@ -29,7 +29,7 @@ def show(spark: SparkSession, index: Index, model: str, label: str | None, text:
     """Print hits, five a page."""
     queries = spark.createDataFrame([(label or "q", text)], "query_id string, text string")
     print(queries.select(F.concat(F.lit(f"[{label}] " if label else ""), query_echo(F.col("text")))).first()[0])
-    hits = rank(index, queries, model, depth).join(index.docs.select("pos", "text"), "pos").select("rank", "doc_id", "score", console_snippet(F.col("text")).alias("snippet")).orderBy("rank").collect()
+    hits = rank(index, queries, model, depth).join(index.texts, "doc_id").select("rank", "doc_id", "score", console_snippet(F.col("text")).alias("snippet")).orderBy("rank").collect()
     for h in hits:
         if (h["rank"] - 1) % PAGE_SIZE == 0:
             print(f"--- page {(h['rank'] - 1) // PAGE_SIZE + 1} ---")

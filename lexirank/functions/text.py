@@ -19,6 +19,9 @@ from .stopwords import english
 #: Word characters: letters, decimal and other numbers, underscore, in any script.
 TOKEN = r"([\p{L}\p{N}_]+)"
 SEGMENT = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
+#: Words that a worker keeps the stems of, and words that become bags at once.
+KNOWN_WORDS, BAG_WORDS = 200_000, 250_000
+_known: dict[str, str] = {}
 #: Words that begin a question.
 QUESTION_WORDS = (
     "what why how when where who whose which whom can could should would is are was were am do does did has have had must may might shall will "
@@ -32,12 +35,21 @@ def _lists(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(size)]).astype(np.int32), words.flatten()
 
 
-def _stemmed(flat: pa.Array) -> tuple[np.ndarray, list[str]]:
+def _stem_of(words: list[str]) -> list[str]:
+    """The stem of each word; a worker keeps the stems that it has made, up to a bound."""
+    if len(_known) > KNOWN_WORDS:
+        _known.clear()
+    for w in words:
+        if w not in _known:
+            _known[w] = porter.stem(w)
+    return [_known[w] for w in words]
+
+
+def _stemmed(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The stem of each word as a number, and the stems; each distinct word is stemmed once."""
-    known = flat.dictionary_encode()
-    found = [porter.stem(w) for w in known.dictionary.to_pylist()]
-    stems, place = np.unique(np.array(found, dtype=object), return_inverse=True) if found else (np.zeros(0, object), np.zeros(0, np.int64))
-    return place[known.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64), list(stems)
+    words = flat.dictionary_encode()
+    stems = pa.array(_stem_of(words.dictionary.to_pylist()), pa.string()).dictionary_encode()
+    return stems.indices.to_numpy()[words.indices.to_numpy()].astype(np.int64), stems.dictionary
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -45,7 +57,7 @@ def stem_all(words: pa.Array) -> pa.Array:
     """Stems of arrays of words; null stays null."""
     offsets, flat = _lists(words)
     codes, stems = _stemmed(flat)
-    out = pa.array(stems, pa.string()).take(pa.array(codes)) if len(codes) else pa.array([], pa.string())
+    out = stems.take(pa.array(codes))
     return pa.ListArray.from_arrays(pa.array(offsets), out, mask=words.is_null())
 
 
@@ -54,14 +66,22 @@ BAG = ArrayType(StructType([StructField("term", StringType()), StructField("tf",
 
 @F.arrow_udf(BAG)
 def stem_bag(words: pa.Array) -> pa.Array:
-    """For each array of words its stems, how often each occurs, and where first."""
+    """For each array of words its stems, how often each occurs, and where first; some words at a time."""
     offsets, flat = _lists(words)
+    out, at = [], 0
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BAG_WORDS, "right")) - 1)
+        out.append(_bags(offsets[at : end + 1] - offsets[at], flat.slice(offsets[at], offsets[end] - offsets[at])))
+        at = end
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64()), ("first_pos", pa.int32())])))
+
+
+def _bags(offsets: np.ndarray, flat: pa.Array) -> pa.Array:
     codes, stems = _stemmed(flat)
-    doc = np.repeat(np.arange(len(words)), np.diff(offsets))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     _, first, tf = np.unique(doc * max(1, len(stems)) + codes, return_index=True, return_counts=True)
-    term = pa.array(stems, pa.string()).take(pa.array(codes[first])) if len(first) else pa.array([], pa.string())
-    rows = pa.StructArray.from_arrays([term, pa.array(tf, pa.int64()), pa.array(first - offsets[doc[first]], pa.int32())], ["term", "tf", "first_pos"])
-    per = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(words)))]).astype(np.int32)
+    rows = pa.StructArray.from_arrays([stems.take(pa.array(codes[first])), pa.array(tf, pa.int64()), pa.array(first - offsets[doc[first]], pa.int32())], ["term", "tf", "first_pos"])
+    per = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(offsets) - 1))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(per), rows)
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import Index
-from ..storage import materialize
-from .rank import RANKERS, Ranker, bm25_query_component, query_terms, rank
+from .rank import RANKERS, Ranker, bm25_best, query_terms, rank, top
 
 #: The grid.
 K1_GRID, B_GRID = (0.9, 1.2, 1.5, 1.8, 2.0), (0.3, 0.5, 0.65, 0.75, 0.9)
@@ -69,40 +68,20 @@ def compare(index: Index, queries: DataFrame, qrels: DataFrame, models: Sequence
     return rows.withColumn("place", place).withColumn("best", F.col("place") == 1)
 
 
-def grid_parts(index: Index, terms: DataFrame, k1_values: Sequence[float], b_values: Sequence[float], depth: int) -> DataFrame:
-    """(k1, b, query_id, pos, score) of all documents that may be among the first depth for a parameter pair.
-
-    A posting is met once and adds to one sum per pair. The depth-th largest of the documents' lowest scores bounds all
-    pairs' depth-th scores from below, so documents whose highest score is less are left out before rows multiply."""
-    known = terms.join(index.terms.select("term", "idf_bm25"), "term").crossJoin(F.broadcast(index.corpus.select("adl", "k2")))
-    known = known.withColumn("weight", F.col("idf_bm25") * bm25_query_component(F.col("qf"), F.col("k2")))
-    parts = index.postings.join(known, "term").select("query_id", "pos", "tf", (F.col("dl") / F.col("adl")).alias("ratio"), "weight")
-    pairs = [(float(k1), float(b)) for k1 in k1_values for b in b_values]
-    score = lambda k1, b: F.sum(F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("ratio"))))
-    sums = parts.groupBy("query_id", "pos").agg(*[score(*p).alias(f"s{i}") for i, p in enumerate(pairs)])
-    names = [f"s{i}" for i in range(len(pairs))]
-    ends = {"_low": F.array_min(F.array(*names)), "_high": F.array_max(F.array(*names))}
-    sums = materialize(sums.withColumns(ends), "grid")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_low")))
-    floor = sums.select("query_id", "_low").withColumn("_place", place).where(F.col("_place") <= depth)
-    floor = floor.groupBy("query_id").agg(F.when(F.count("*") == depth, F.min("_low")).alias("_floor"))
-    slack = 1e-8  # ranks order by rounded scores
-    some = sums.join(floor, "query_id").where(F.col("_floor").isNull() | (F.col("_high") >= F.col("_floor") - slack))
-    each = F.explode(F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(n).alias("score")) for n, (k1, b) in zip(names, pairs, strict=True)]))
-    return some.select("query_id", "pos", each.alias("p")).select("p.k1", "p.b", "query_id", "pos", "p.score")
+def grid_ranking(index: Index, terms: DataFrame, pairs: Sequence[tuple[float, float]], depth: int) -> DataFrame:
+    """(variant, query_id, doc_id, pos, rank, score): the ranking of each pair of k1 and b, all from one pass; variant: the
+    number of the pair."""
+    return top(bm25_best(index, terms, depth, pairs=pairs), index, depth, keys=["variant", "query_id"])
 
 
 def grid_search(index: Index, queries: DataFrame, qrels: DataFrame, k1_values: Sequence[float] = K1_GRID, b_values: Sequence[float] = B_GRID, depth: int = 25) -> DataFrame:
     """(k1, b, map) in one job, the best first; of equal ones the smallest k1, then b."""
-    keys = ["k1", "b", "query_id"]
-    order = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), "pos")
-    ranked = grid_parts(index, query_terms(queries), k1_values, b_values, depth).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth)
-    ranked = ranked.join(index.docs.select("pos", "doc_id"), "pos")
-    rel = flagged(ranked, qrels, keys)
+    keys, pairs = ["variant", "query_id"], [(float(k), float(b)) for k in k1_values for b in b_values]
+    rel = flagged(grid_ranking(index, query_terms(queries), pairs, depth), qrels, keys)
     ap = rel.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col("relevant") == 1, F.col("hits") / F.col("rank"))), F.lit(0.0)) / F.greatest(F.max("total_relevant"), F.lit(1))).alias("ap"))
     n = queries.agg(F.count("*").alias("n"))
-    pairs = queries.sparkSession.createDataFrame([(float(k), float(b)) for k in k1_values for b in b_values], "k1 double, b double")
-    sums = pairs.join(ap.groupBy("k1", "b").agg(F.sum("ap").alias("s")), ["k1", "b"], "left").crossJoin(F.broadcast(n))
+    every = queries.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "variant int, k1 double, b double")
+    sums = every.join(ap.groupBy("variant").agg(F.sum("ap").alias("s")), "variant", "left").crossJoin(F.broadcast(n))
     return sums.select("k1", "b", F.when(F.col("n") > 0, F.coalesce("s", F.lit(0.0)) / F.col("n")).otherwise(0.0).alias("map")).orderBy(F.round("map", 12).desc(), "k1", "b")
 
 

@@ -43,28 +43,28 @@ def explain_terms(index: Index, terms: DataFrame, pairs: DataFrame, model: str)
     The contributions of a pair add up to its score, for vector models after division by both lengths."""
     own = pairs.select("query_id", "doc_id").distinct()
     terms = terms.join(own.select("query_id").distinct(), "query_id", "left_semi")
-    near = index.docs.select("doc_id", "pos").join(own, "doc_id")
+    near = r.materialize(index.docs.select("doc_id", "pos").join(own, "doc_id").select("query_id", "pos"), "near")
 
     def of(parts: DataFrame, *cols: str) -> DataFrame:
-        return parts.join(near.select("query_id", "pos"), ["query_id", "pos"], "left_semi").select("query_id", "pos", "term", *cols, "contribution")
+        return parts.select("query_id", "pos", "term", *cols, "contribution")
 
     null = F.lit(None).cast("double")
     if model in ("bm25", "rm3"):
         weighted = terms if model == "bm25" else r.materialize(r.rm3_weights(index, terms), "rm3").withColumnRenamed("weight", "qf")
         weighted = weighted.crossJoin(F.broadcast(index.corpus.select("k2"))).withColumn("query_weight", r.bm25_query_component(F.col("qf"), F.col("k2")))
-        rows = _rows(index, weighted, own, of(r.bm25_parts(index, weighted.select("query_id", "term", "qf")), "tf", "doc_component"))
+        rows = _rows(index, weighted, own, of(r.bm25_parts(index, weighted.select("query_id", "term", "qf"), near), "tf", "doc_component"))
         rows = rows.join(index.terms.select("term", F.col("idf_bm25").alias("idf")), "term", "left")
         return _pick(rows, F.col("qf"), F.col("query_weight"), F.col("doc_component"), F.col("idf"))
     if model in ("vsm", "rocchio_prf"):
         vector = r.query_vector(index, terms).withColumn("from_feedback", F.lit(False)) if model == "vsm" else r.materialize(r.rocchio_vector(index, terms), "rocchio")
-        rows = _rows(index, vector, own, of(r.vector_parts(index, vector.select("query_id", "term", "weight")), "tf", "tfidf"), seen=False)
+        rows = _rows(index, vector, own, of(r.vector_parts(index, vector.select("query_id", "term", "weight"), near), "tf", "tfidf"), seen=False)
         return _pick(rows, null, F.col("weight"), F.coalesce("tfidf", F.lit(0.0)), null, F.col("from_feedback"))
     if model == "bim":
         weighted = terms.join(index.terms.select("term", "idf_bim"), "term", "left")
-        rows = _rows(index, weighted, own, of(r.bim_parts(index, terms), "tf"))
+        rows = _rows(index, weighted, own, of(r.bim_parts(index, terms, near), "tf"))
         return _pick(rows, null, F.col("idf_bim"), null, null)
     if model == "lm_dirichlet":
-        rows = _rows(index, terms, own, of(r.lm_parts(index, terms), "tf", "p_td"))
+        rows = _rows(index, terms, own, of(r.lm_parts(index, terms, near), "tf", "p_td"))
         return _pick(rows, F.col("qf"), F.col("qf"), F.log("p_td"), null)
     raise ValueError(f"no term rows for {model}")
 
@@ -93,7 +93,7 @@ def rank_of(ranking: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def document_text(index: Index) -> DataFrame:
     """(doc_id, text): texts as they are cut into segments for display, MAX_CHARS characters at most."""
-    return index.docs.select("doc_id", F.substring("text", 1, MAX_CHARS).alias("text"))
+    return index.texts.select("doc_id", F.substring("text", 1, MAX_CHARS).alias("text"))
 
 
 def segment_rows(texts: DataFrame, contributing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def build_explanation(index: Index, query: str, doc_id: str, model: str) -> dict
     if model not in r.RANKERS:
         return {"error": "unknown_model"}
     spark = index.docs.sparkSession
-    doc = index.docs.where(F.col("doc_id") == doc_id).select("text", "dl", "norm").first()
+    doc = index.docs.where(F.col("doc_id") == doc_id).join(index.texts, "doc_id").select("text", "dl", "norm").first()
     if doc is None and model != "hybrid_rrf":
         return {"error": "unknown_doc"}
     queries = spark.createDataFrame([("q", query)], "query_id string, text string")

@@ -1,9 +1,9 @@
 """Seven rankers over an index, each for a whole batch of queries in one plan.
 
 A ranker takes (index, query terms, depth) and returns (query_id, doc_id, pos, rank, score). Query terms are
-(query_id, term, qf). Scores are sums whose order Spark does not fix, so ranks order by the score rounded to nine
-digits, then by corpus position. Frames of contributions, (query_id, pos, term, parts, contribution), feed scores,
-parameter grids and explanations alike. Only matched documents are ranked.
+(query_id, term, qf). Ranks order by the score rounded to nine digits, then by corpus position. Scores come from one pass
+over the forward table (scan.py), explanations from frames of contributions, (query_id, pos, term, parts, contribution), of
+the documents asked about alone. Only matched documents are ranked.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze
 from ..plans.index import Index, part
 from ..storage import materialize
+from .scan import best_documents
 
 Ranker = Callable[[Index, DataFrame, int], DataFrame]
 
@@ -26,15 +28,16 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return analyze(queries.select(F.col(id_col).cast("string").alias("query_id"), F.col(text_col).alias("text")), "query_id").groupBy("query_id", "term").agg(F.count("*").cast("double").alias("qf"))
 
 
-def top(scored: DataFrame, index: Index, depth: int, by: Sequence[Column] | None = None) -> DataFrame:
-    """The first depth documents of each query; scored: (query_id, pos, score)."""
-    order = by or [F.round("score", 9).desc(), F.col("pos")]
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= depth)
-    return ranked.join(index.docs.select("pos", "doc_id"), "pos").select("query_id", "doc_id", "pos", "rank", "score")
+def top(scored: DataFrame, index: Index, depth: int, by: Sequence[Column] | None = None, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """The first depth documents of each query; scored: (query_id, pos, score), and where by is not given, key."""
+    order = by or [F.col("key").desc(), F.col("pos")]
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= depth)
+    return ranked.join(index.docs.select("pos", "doc_id"), "pos").select(*keys, "doc_id", "pos", "rank", "score")
 
 
-def _sum(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("query_id", "pos").agg(F.sum("contribution").alias("score"))
+def met(index: Index, weighted: DataFrame, near: DataFrame) -> DataFrame:
+    """weighted, (query_id, term, ...), met in the documents of near, (query_id, pos): with pos, tf and dl."""
+    return feedback_terms(index, near.select("query_id", "pos")).drop("first_pos").join(weighted, ["query_id", "term"])
 
 
 # BM25
@@ -44,18 +47,33 @@ def bm25_query_component(weight: Column, k2: Column) -> Column:
     return weight * (k2 + 1) / (weight + k2)
 
 
-def bm25_parts(index: Index, terms: DataFrame, weight: str = "qf") -> DataFrame:
-    """Contributions of the matched terms; terms: (query_id, term, weight), where weights may be fractions."""
+def _bm25_known(index: Index, terms: DataFrame, weight: str) -> DataFrame:
     known = terms.join(index.terms.select("term", "idf_bm25"), "term").crossJoin(F.broadcast(index.corpus.select("adl", "k1", "b", "k2")))
-    known = known.withColumn("query_component", bm25_query_component(F.col(weight), F.col("k2")))
-    parts = index.postings.join(known, "term")
+    return known.withColumn("query_component", bm25_query_component(F.col(weight), F.col("k2")))
+
+
+def bm25_parts(index: Index, terms: DataFrame, near: DataFrame, weight: str = "qf") -> DataFrame:
+    """Contributions of the matched terms to near; terms: (query_id, term, weight), where weights may be fractions."""
+    parts = met(index, _bm25_known(index, terms, weight), near)
     parts = parts.withColumn("norm_k", F.col("k1") * ((1 - F.col("b")) + F.col("b") * (F.col("dl") / F.col("adl"))))
     parts = parts.withColumn("doc_component", F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("norm_k")))
     return parts.withColumn("contribution", F.col("idf_bm25") * F.col("doc_component") * F.col("query_component"))
 
 
-def bm25(index: Index, terms: DataFrame, depth: int) -> DataFrame:
-    return top(_sum(bm25_parts(index, terms)), index, depth)
+def bm25_best(index: Index, terms: DataFrame, depth: int, weight: str = "qf", pairs: Sequence[tuple[float, float]] | None = None) -> DataFrame:
+    """Candidates by BM25 for each pair of k1 and b, by default the corpus's; variant: the number of the pair."""
+    corpus = index.corpus.select("adl", "k1", "b").first()
+    adl, pairs = corpus["adl"], pairs or [(corpus["k1"], corpus["b"])]
+
+    def values(tf: np.ndarray, dl: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        return [own * (tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * (dl / adl)))) for k1, b in pairs]
+
+    known = _bm25_known(index, terms, weight).select("query_id", "term", F.col("query_component").alias("weight"), F.col("idf_bm25").alias("own"))
+    return best_documents(index, known, depth, values, len(pairs))
+
+
+def bm25(index: Index, terms: DataFrame, depth: int, weight: str = "qf") -> DataFrame:
+    return top(bm25_best(index, terms, depth, weight), index, depth)
 
 
 # Vectors
@@ -67,54 +85,55 @@ def query_vector(index: Index, terms: DataFrame) -> DataFrame:
     return known.select("query_id", "term", ((F.log("qf") + 1) * F.coalesce("idf_smooth", F.lit(0.0))).alias("weight"))
 
 
-def vector_parts(index: Index, vector: DataFrame) -> DataFrame:
-    return index.postings.join(vector, "term").withColumn("contribution", F.col("weight") * F.col("tfidf"))
+def vector_parts(index: Index, vector: DataFrame, near: DataFrame) -> DataFrame:
+    parts = met(index, vector.join(index.terms.select("term", "idf_smooth"), "term"), near)
+    return parts.withColumn("tfidf", (F.log(F.col("tf").cast("double")) + 1) * F.col("idf_smooth")).withColumn("contribution", F.col("weight") * F.col("tfidf"))
 
 
-def cosine(index: Index, vector: DataFrame) -> DataFrame:
-    """(query_id, pos, score) of all documents that share a term; queries and documents of length 0 have none."""
-    norms = vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("query_norm")).where("query_norm > 0")
-    dots = vector_parts(index, vector).groupBy("query_id", "pos").agg(F.sum("contribution").alias("dot"))
-    both = dots.join(norms, "query_id").join(index.docs.select("pos", "norm"), "pos").where("norm > 0")
-    return both.select("query_id", "pos", (F.col("dot") / (F.col("query_norm") * F.col("norm"))).alias("score"))
+def cosine(index: Index, vector: DataFrame, depth: int) -> DataFrame:
+    """Candidates among all documents that share a term; queries and documents of length 0 have none."""
+    known = vector.join(index.terms.select("term", F.col("idf_smooth").alias("own")), "term")
+    return best_documents(index, known, depth, lambda tf, dl, own: [(np.log(tf) + 1) * own], cosine=True)
 
 
 def vsm(index: Index, terms: DataFrame, depth: int) -> DataFrame:
-    return top(cosine(index, query_vector(index, terms)), index, depth)
+    return top(cosine(index, query_vector(index, terms), depth), index, depth)
 
 
 # Binary independence
 
 
-def bim_parts(index: Index, terms: DataFrame) -> DataFrame:
-    known = terms.join(index.terms.select("term", "idf_bim"), "term")
-    return index.postings.join(known, "term").withColumn("contribution", F.col("idf_bim"))
+def bim_parts(index: Index, terms: DataFrame, near: DataFrame) -> DataFrame:
+    return met(index, terms.join(index.terms.select("term", "idf_bim"), "term"), near).withColumn("contribution", F.col("idf_bim"))
 
 
 def bim(index: Index, terms: DataFrame, depth: int) -> DataFrame:
-    return top(_sum(bim_parts(index, terms)), index, depth)
+    known = terms.join(index.terms.select("term", F.col("idf_bim").alias("own")), "term").withColumn("weight", F.lit(1.0))
+    return top(best_documents(index, known, depth, lambda tf, dl, own: [own]), index, depth)
 
 
 # Language model with Dirichlet smoothing, over matched terms only
 
 
-def lm_parts(index: Index, terms: DataFrame) -> DataFrame:
+def lm_parts(index: Index, terms: DataFrame, near: DataFrame) -> DataFrame:
     known = terms.join(index.terms.select("term", "p_collection"), "term").crossJoin(F.broadcast(index.corpus.select("mu")))
-    parts = index.postings.join(known, "term").withColumn("p_td", (F.col("tf") + F.col("mu") * F.col("p_collection")) / (F.col("dl") + F.col("mu")))
+    parts = met(index, known, near).withColumn("p_td", (F.col("tf") + F.col("mu") * F.col("p_collection")) / (F.col("dl") + F.col("mu")))
     return parts.withColumn("contribution", F.col("qf") * F.log("p_td"))
 
 
 def lm_dirichlet(index: Index, terms: DataFrame, depth: int) -> DataFrame:
-    return top(_sum(lm_parts(index, terms)).where("score != 0"), index, depth)
+    mu = index.corpus.select("mu").first()["mu"]
+    known = terms.join(index.terms.select("term", F.col("p_collection").alias("own")), "term").withColumn("weight", F.col("qf"))
+    return top(best_documents(index, known, depth, lambda tf, dl, own: [np.log((tf + mu * own) / (dl + mu))], nonzero=True), index, depth)
 
 
 # Rocchio feedback
 
 
 def feedback_terms(index: Index, feedback: DataFrame) -> DataFrame:
-    """feedback, with pos and rank, by term: tf, first_pos, dl. The forward table's folders without a feedback document
-    are not read: the filter on rank is what makes Spark prune them by the join."""
-    asked = feedback.where("rank >= 1").withColumn("part", part(F.col("pos")))
+    """feedback, with pos, by term: tf, first_pos, dl. The forward table's folders without a feedback document are not
+    read: the filter on pos is what makes Spark prune them by the join."""
+    asked = feedback.where("pos >= 0").withColumn("part", part(F.col("pos")))
     held = index.forward.join(F.broadcast(asked) if _few(feedback) else asked, ["part", "pos"])
     return held.select(*feedback.columns, "dl", F.inline("bag"))
 
@@ -150,7 +169,7 @@ def rocchio_vector(index: Index, terms: DataFrame, fb_docs: int = 15, fb_terms:
 
 
 def rocchio(index: Index, terms: DataFrame, depth: int, fb_docs: int = 15, fb_terms: int = 25, alpha: float = 0.4, beta: float = 0.6) -> DataFrame:
-    return top(cosine(index, rocchio_vector(index, terms, fb_docs, fb_terms, alpha, beta).drop("from_feedback")), index, depth)
+    return top(cosine(index, rocchio_vector(index, terms, fb_docs, fb_terms, alpha, beta).drop("from_feedback"), depth), index, depth)
 
 
 # Relevance model
@@ -179,7 +198,7 @@ def rm3_weights(index: Index, terms: DataFrame, fb_docs: int = 10, fb_terms: int
 
 def rm3(index: Index, terms: DataFrame, depth: int, fb_docs: int = 10, fb_terms: int = 20, lam: float = 0.5, first: DataFrame | None = None) -> DataFrame:
     weights = materialize(rm3_weights(index, terms, fb_docs, fb_terms, lam, first), "rm3")
-    return top(_sum(bm25_parts(index, weights, "weight")), index, depth)
+    return bm25(index, weights, depth, "weight")
 
 
 # Fusion

@@ -1,4 +1,4 @@
-"""The index as five tables: docs, forward (each document's terms), postings (each term's documents), terms, corpus."""
+"""The index as six tables: docs, forward (each document's terms), postings (each term's documents), terms, corpus, texts."""
 
 from __future__ import annotations
 
@@ -25,6 +25,7 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    texts: DataFrame | None = None
 
     def save(self, path: str) -> None:
         for name in INDEX:
@@ -36,14 +37,11 @@ class Index:
         return Index(**{name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in INDEX.items()})
 
 
-def positions(docs: DataFrame, order: str) -> DataFrame:
-    """docs with a dense position from 0 in the order of a column. Rows are dealt into ranges, written once, and each
-    range starts at the number of rows before it, so nothing but one count a range comes together."""
-    ranged = materialize(docs.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+def starts(placed: DataFrame) -> DataFrame:
+    """(_range, _start): the number of rows before each range; a row a range. Rows are numbered inside their ranges, so
+    nothing but one count a range comes together."""
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.join(F.broadcast(starts), "_range").withColumn("pos", (F.col("_start") + inside - 1).cast("long")).drop("_range", "_start")
+    return placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
 
 
 def part(pos: Column) -> Column:
@@ -61,10 +59,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     path = path or scratch(spark, "index")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(order or id_col).alias("_order"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    numbered = positions(rows, "_order").select("pos", F.col("_id").cast("string").alias("doc_id"), "text")
-    # a document's tokens become its bag of stems in one pass, without a shuffle
-    placed = materialize(numbered.withColumn("bag", stem_bag(kept_tokens(F.col("text"), stop_words))).withColumn("dl", _length(F.col("bag"))), "placed")
-    counts = placed.select("pos", "dl", F.inline("bag"))
+    rows.select(F.col("_id").cast("string").alias("doc_id"), "text").write.mode("overwrite").parquet(f"{path}/texts")
+    # texts are dealt into ranges and sorted there, and become bags of stems in the same pass; only bags go on
+    bagged = rows.repartitionByRange("_order").sortWithinPartitions("_order").withColumn("bag", stem_bag(kept_tokens(F.col("text"), stop_words)))
+    place = F.monotonically_increasing_id()  # the range, and the row in it in the lower 33 bits
+    placed = materialize(bagged.select(place.alias("_place"), F.col("_id").cast("string").alias("doc_id"), _length(F.col("bag")).alias("dl"), "bag"), "placed")
+    placed, written = placed.withColumn("_range", F.shiftright("_place", 33)), placed
+    numbered = placed.join(F.broadcast(starts(placed)), "_range").withColumn("pos", F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1))
+    counts = numbered.select("pos", "dl", F.inline("bag"))
 
     totals = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
     corpus = totals.select(
@@ -87,16 +89,18 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     weight = (F.log(F.col("tf").cast("double")) + 1) * F.col("idf_smooth")
     postings = counts.join(terms.select("term", "idf_smooth"), "term").select("term", "pos", "tf", "first_pos", weight.alias("tfidf"), "dl")
-    # ranges of terms: a query's terms prune files and row groups by their bounds; a frequent term has many ranges
-    postings.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    postings.sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.schema(INDEX["postings"]).parquet(f"{path}/postings")
 
-    norms = postings.groupBy("pos").agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
-    whole = placed.join(norms, "pos", "left").select("pos", "doc_id", "text", "dl", F.coalesce("norm", F.lit(0.0)).alias("norm"))
-    whole.write.mode("overwrite").parquet(f"{path}/docs")
-    forward = placed.select(part(F.col("pos")).alias("part"), "pos", "dl", "bag")
+    norms = postings.groupBy("pos").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("square"))
+    # a document's bag and its length meet in ranges of positions, so a task writes few folders
+    both = numbered.select("pos", "doc_id", "dl", "bag").unionByName(norms, allowMissingColumns=True).repartitionByRange("pos")
+    whole = both.groupBy("pos").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "dl", "bag")), F.sqrt(F.coalesce(F.sum("square"), F.lit(0.0))).alias("norm"))
+    forward = whole.select(part(F.col("pos")).alias("part"), "pos", "doc_id", "dl", "norm", "bag")
     forward.sortWithinPartitions("part", "pos").write.partitionBy("part").mode("overwrite").parquet(f"{path}/forward")
-    discard(placed)
+    forward = spark.read.schema(INDEX["forward"]).parquet(f"{path}/forward")
+    forward.select("pos", "doc_id", "dl", "norm").write.mode("overwrite").parquet(f"{path}/docs")
+    discard(written)
     return Index.load(spark, path)
 
 

@@ -47,7 +47,8 @@ def passages(documents: DataFrame, queries: DataFrame) -> DataFrame:
     short = documents.join(asked.where("n <= 0").select("query_id", "passage"), F.contains("text", F.col("passage"))).select("query_id", "doc_id")
     if pairs is None:
         return short
-    both = pairs.distinct().join(documents.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "passage"), "query_id")
+    pairs = materialize(pairs.distinct(), "held")  # seldom many, so read back they go to the texts
+    both = pairs.join(documents.select("doc_id", "text"), "doc_id").join(asked.select("query_id", "passage"), "query_id")
     return both.where(F.contains("text", F.col("passage"))).select("query_id", "doc_id").unionByName(short)
 
 
