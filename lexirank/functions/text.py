@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Collection
+from collections.abc import Callable, Collection
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,12 @@ from .stopwords import english
 #: Word characters: letters, decimal and other numbers, underscore, in any script.
 TOKEN = r"([\p{L}\p{N}_]+)"
 SEGMENT = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
-#: Words that a worker keeps the stems of, and words that become bags at once.
-KNOWN_WORDS, BAG_WORDS = 200_000, 250_000
-_known: dict[str, str] = {}
+#: Words that become bags at once.
+BAG_WORDS = 250_000
+#: Blanks between words, by byte; an odd number, its inverse and another modulo 2^64; bytes whose runs are numbered at once.
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+UNBASE, RUN_BYTES = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), 1 << 20
 #: Words that begin a question.
 QUESTION_WORDS = (
     "what why how when where who whose which whom can could should would is are was were am do does did has have had must may might shall will "
@@ -35,20 +39,10 @@ def _lists(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(size)]).astype(np.int32), words.flatten()
 
 
-def _stem_of(words: list[str]) -> list[str]:
-    """The stem of each word; a worker keeps the stems that it has made, up to a bound."""
-    if len(_known) > KNOWN_WORDS:
-        _known.clear()
-    for w in words:
-        if w not in _known:
-            _known[w] = porter.stem(w)
-    return [_known[w] for w in words]
-
-
 def _stemmed(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The stem of each word as a number, and the stems; each distinct word is stemmed once."""
     words = flat.dictionary_encode()
-    stems = pa.array(_stem_of(words.dictionary.to_pylist()), pa.string()).dictionary_encode()
+    stems = pa.array([porter.stem(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
     return stems.indices.to_numpy()[words.indices.to_numpy()].astype(np.int64), stems.dictionary
 
 
@@ -85,6 +79,52 @@ def _bags(offsets: np.ndarray, flat: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(per), rows)
 
 
+@cache
+def word_runs(n: int) -> Callable[[str], Column]:
+    """A function on texts: a number for every n words in a row, in order, alike for equal runs of words between blanks
+    (different ones seldom share it). Null has none."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(text: pa.Array) -> pa.Array:
+        out, at, size = [], 0, np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))])
+        while at < len(text):
+            end = max(at + 1, int(np.searchsorted(size, size[at] + RUN_BYTES, "right")) - 1)
+            out.append(_runs(text.slice(at, end - at), n))
+            at = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
+
+    return run
+
+
+def _runs(text: pa.Array, n: int) -> pa.Array:
+    text = pa.array(pc.fill_null(text, "").cast(pa.large_binary()))
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    word = ~BLANK[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inside = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]  # a text ends a word, too
+    first[inside] = word[inside]
+    last[inside - 1] = word[inside - 1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # a word's number is the sum of its bytes times powers of an odd number, all modulo 2^64, divided by its first power
+    with np.errstate(over="ignore"):
+        power, back = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(data), b, np.uint64))]) for b in (BASE, UNBASE))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+        number = (sums[last] - sums[first]) * back[first]
+        number = (number ^ (number >> np.uint64(29))) * MIX
+        number ^= number >> np.uint64(32)
+        runs = np.zeros(max(0, len(number) - n + 1), np.uint64)
+        for i in range(n):
+            runs = runs * BASE + number[i : len(runs) + i]
+    doc = np.searchsorted(ends, first, "right") - 1
+    whole = doc[: len(runs)] == doc[n - 1 : n - 1 + len(runs)]
+    per = np.concatenate([[0], np.cumsum(np.bincount(doc[: len(runs)][whole], minlength=len(text)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(per), pa.array(runs[whole].view(np.int64)))
+
+
 def raw_tokens(text: Column) -> Column:
     """Lower-cased word runs in order; null has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))

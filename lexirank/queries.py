@@ -32,17 +32,13 @@ def passages(documents: DataFrame, queries: DataFrame) -> DataFrame:
 
     Whole words inside the text (all but its first and last) are the join key, so only documents that hold those are
     compared. A text of one or two words has none inside and is looked for in every document."""
-    words = lambda c: F.split(c, r"\s+")
-    asked = queries.where(F.col("text").rlike(r"\S")).select("query_id", F.col("text").alias("passage")).withColumn("w", words(F.col("passage")))
-    asked = asked.withColumn("n", F.least(F.size("w") - 2, F.lit(_INNER)))
-    keys = asked.where("n > 0").select("query_id", "n", F.xxhash64(F.slice("w", F.lit(2), F.col("n"))).alias("key"))
-    lengths = sorted(r["n"] for r in keys.select("n").distinct().collect())  # six numbers at most
-    held = documents.withColumn("w", words(F.col("text")))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
+    asked = queries.where(F.col("text").rlike(r"\S")).select("query_id", F.col("text").alias("passage"), (F.size(T.word_runs(1)("text")) - 2).alias("n"))
+    asked = materialize(asked.withColumn("n", F.least("n", F.lit(_INNER))), "asked")
+    lengths = sorted(r["n"] for r in asked.where("n > 0").select("n").distinct().collect())  # six numbers at most
     pairs = None
     for n in lengths:
-        some = held.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(runs(n))).alias("key"))
-        one = some.join(keys.where(F.col("n") == n).select("query_id", "key"), "key").select("query_id", "doc_id")
+        keys = materialize(asked.where(F.col("n") == n).select("query_id", F.element_at(T.word_runs(n)("passage"), 2).alias("key")), "keys")
+        one = documents.select("doc_id", F.explode(T.word_runs(n)("text")).alias("key")).join(keys, "key").select("query_id", "doc_id")
         pairs = one if pairs is None else pairs.unionByName(one)
     short = documents.join(asked.where("n <= 0").select("query_id", "passage"), F.contains("text", F.col("passage"))).select("query_id", "doc_id")
     if pairs is None:

@@ -102,7 +102,6 @@ def test_bags_of_long_batches(spark, monkeypatch):
     docs = [w.split() if w else [] for w in texts]
     whole = T._bags(np.cumsum([0, *map(len, docs)]), pa.array([w for d in docs for w in d], pa.string()))
     monkeypatch.setattr(T, "BAG_WORDS", 7)
-    monkeypatch.setattr(T, "KNOWN_WORDS", 2)
     run = T.stem_bag.func if hasattr(T.stem_bag, "func") else T.stem_bag
     ordered = lambda bags: [sorted(b, key=lambda t: t["first_pos"]) for b in bags.to_pylist()]
     assert ordered(run(pa.array(docs, pa.list_(pa.string())))) == ordered(whole)
