@@ -61,17 +61,31 @@ BAG = ArrayType(StructType([StructField("term", StringType()), StructField("tf",
 @F.arrow_udf(BAG)
 def stem_bag(words: pa.Array) -> pa.Array:
     """For each array of words its stems, how often each occurs, and where first; some words at a time."""
+    return _some_bags(words, _stemmed)
+
+
+@F.arrow_udf(BAG)
+def word_bag(words: pa.Array) -> pa.Array:
+    """The same for the words as they are."""
+    return _some_bags(words, _coded)
+
+
+def _coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    words = flat.dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary
+
+
+def _some_bags(words: pa.Array, coded: Callable[[pa.Array], tuple[np.ndarray, pa.Array]]) -> pa.Array:
     offsets, flat = _lists(words)
     out, at = [], 0
     while at < len(words):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BAG_WORDS, "right")) - 1)
-        out.append(_bags(offsets[at : end + 1] - offsets[at], flat.slice(offsets[at], offsets[end] - offsets[at])))
+        out.append(_bags(offsets[at : end + 1] - offsets[at], *coded(flat.slice(offsets[at], offsets[end] - offsets[at]))))
         at = end
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64()), ("first_pos", pa.int32())])))
 
 
-def _bags(offsets: np.ndarray, flat: pa.Array) -> pa.Array:
-    codes, stems = _stemmed(flat)
+def _bags(offsets: np.ndarray, codes: np.ndarray, stems: pa.Array) -> pa.Array:
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     _, first, tf = np.unique(doc * max(1, len(stems)) + codes, return_index=True, return_counts=True)
     rows = pa.StructArray.from_arrays([stems.take(pa.array(codes[first])), pa.array(tf, pa.int64()), pa.array(first - offsets[doc[first]], pa.int32())], ["term", "tf", "first_pos"])

@@ -90,8 +90,13 @@ def _ranking(model: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def tokens_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document has each token. A row's tokens are counted where they are; only those of rows that share
+    their id, null ids too, come together."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode(T.kept_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    shared = materialize(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "shared")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    counts = lambda rows: rows.select("doc_id", F.inline(T.word_bag(T.kept_tokens(F.col("text"))))).select("doc_id", F.col("term").alias("token"), F.col("tf").alias("n"))
+    return counts(docs.join(shared, same, "left_anti")).unionByName(counts(docs.join(shared, same, "left_semi")).groupBy("doc_id", "token").agg(F.sum("n").alias("n")))
 
 
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def test_bags_of_long_batches(spark, monkeypatch):
 
     texts = ["cats cat running run the a", None, "", "x1 x1 dogs " * 50, "dogs cats", "the"]
     docs = [w.split() if w else [] for w in texts]
-    whole = T._bags(np.cumsum([0, *map(len, docs)]), pa.array([w for d in docs for w in d], pa.string()))
+    whole = T._bags(np.cumsum([0, *map(len, docs)]), *T._stemmed(pa.array([w for d in docs for w in d], pa.string())))
     monkeypatch.setattr(T, "BAG_WORDS", 7)
     run = T.stem_bag.func if hasattr(T.stem_bag, "func") else T.stem_bag
     ordered = lambda bags: [sorted(b, key=lambda t: t["first_pos"]) for b in bags.to_pylist()]
@@ -113,3 +113,31 @@ def test_positions_are_dense_over_ranges(spark, tmp_path):
     assert [x["doc_id"] for x in index.docs.orderBy("pos").collect()] == [str(i) for i in range(1009)]
     assert index.docs.agg(F.max("pos"), F.min("pos"), F.countDistinct("pos")).first()[:] == (1008, 0, 1009)
     assert index.texts.count() == 1009
+
+
+def test_rare_terms_meet_their_idf_apart(spark, tmp_path, monkeypatch):
+    """Frequent terms take theirs where their postings are; the postings and the bags are the same either way."""
+    from lexirank.plans import index as plan
+
+    docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 3)} own{i}" if i else None) for i in range(90)], "doc_id long, text string")
+    built = []
+    for n in (0, 10, 500_000):
+        monkeypatch.setattr(plan, "FREQUENT", n)
+        built.append(build_index(docs, path=str(tmp_path / str(n))))
+    want = built[0].postings.orderBy("term", "pos").collect()
+    assert len(want) == 89 * 2 + 60 and all(b.postings.orderBy("term", "pos").collect() == want for b in built[1:])
+    bags = lambda b: {x["pos"]: (x["doc_id"], x["dl"], round(x["norm"], 9), sorted(t["term"] for t in x["bag"])) for x in b.forward.collect()}
+    assert bags(built[0]) == bags(built[1]) == bags(built[2]) and bags(built[0])[0] == ("0", 0, 0.0, [])
+
+
+def test_filtered_tokens_of_repeated_ids(spark, tmp_path):
+    """Rows of one id count together, null ids too; the words of the others stay where they are."""
+    from lexirank.queries import QUERIES
+
+    rows = [(i, f"alpha beta alpha the word{i}", ) for i in range(2000)] + [(7, "alpha x1"), (None, "beta beta"), (None, "beta"), (9, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["tokens_filtered"](spark, str(tmp_path))
+    got = {(x["doc_id"], x["token"]): x["n"] for x in out.collect()}
+    assert out.columns == ["doc_id", "token", "n"] and len(got) == 2000 * 3 + 2 == out.count()
+    assert got[7, "alpha"] == 3 and got[7, "x1"] == 1 and got[None, "beta"] == 3 and got[9, "alpha"] == 2 and got[5, "word5"] == 1
+    assert most_shuffled(out) < 100
