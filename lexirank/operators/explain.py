@@ -29,7 +29,7 @@ def _rows(index: Index, weighted: DataFrame, pairs: DataFrame, parts: DataFrame,
 
     seen: whether words outside the index have a status of their own."""
     asked = pairs.join(index.docs.select("doc_id", "pos", F.col("dl").alias("doc_len"), F.col("norm").alias("doc_norm")), "doc_id")
-    every = weighted.join(asked, "query_id").join(index.terms.select("term", F.lit(True).alias("known")), "term", "left")
+    every = weighted.join(asked, "query_id").join(r.known_terms(index, weighted).select("term", F.lit(True).alias("known")), "term", "left")
     rows = every.join(parts, ["query_id", "pos", "term"], "left")
     status = F.when(F.col("contribution").isNotNull(), "matched")
     if seen:
@@ -42,7 +42,7 @@ def explain_terms(index: Index, terms: DataFrame, pairs: DataFrame, model: str)
 
     The contributions of a pair add up to its score, for vector models after division by both lengths."""
     own = pairs.select("query_id", "doc_id").distinct()
-    terms = terms.join(own.select("query_id").distinct(), "query_id", "left_semi")
+    terms = r.materialize(terms.join(own.select("query_id").distinct(), "query_id", "left_semi"), "asked")  # small as read back, so it goes to the vocabulary
     near = r.materialize(index.docs.select("doc_id", "pos").join(own, "doc_id").select("query_id", "pos"), "near")
 
     def of(parts: DataFrame, *cols: str) -> DataFrame:
@@ -52,15 +52,17 @@ def explain_terms(index: Index, terms: DataFrame, pairs: DataFrame, model: str)
     if model in ("bm25", "rm3"):
         weighted = terms if model == "bm25" else r.materialize(r.rm3_weights(index, terms), "rm3").withColumnRenamed("weight", "qf")
         weighted = weighted.crossJoin(F.broadcast(index.corpus.select("k2"))).withColumn("query_weight", r.bm25_query_component(F.col("qf"), F.col("k2")))
+        weighted = r.materialize(weighted, "weighted")
         rows = _rows(index, weighted, own, of(r.bm25_parts(index, weighted.select("query_id", "term", "qf"), near), "tf", "doc_component"))
-        rows = rows.join(index.terms.select("term", F.col("idf_bm25").alias("idf")), "term", "left")
+        rows = rows.join(r.known_terms(index, weighted).select("term", F.col("idf_bm25").alias("idf")), "term", "left")
         return _pick(rows, F.col("qf"), F.col("query_weight"), F.col("doc_component"), F.col("idf"))
     if model in ("vsm", "rocchio_prf"):
-        vector = r.query_vector(index, terms).withColumn("from_feedback", F.lit(False)) if model == "vsm" else r.materialize(r.rocchio_vector(index, terms), "rocchio")
+        vector = r.query_vector(index, terms).withColumn("from_feedback", F.lit(False)) if model == "vsm" else r.rocchio_vector(index, terms)
+        vector = r.materialize(vector, "vector")
         rows = _rows(index, vector, own, of(r.vector_parts(index, vector.select("query_id", "term", "weight"), near), "tf", "tfidf"), seen=False)
         return _pick(rows, null, F.col("weight"), F.coalesce("tfidf", F.lit(0.0)), null, F.col("from_feedback"))
     if model == "bim":
-        weighted = terms.join(index.terms.select("term", "idf_bim"), "term", "left")
+        weighted = terms.join(r.known_terms(index, terms).select("term", "idf_bim"), "term", "left")
         rows = _rows(index, weighted, own, of(r.bim_parts(index, terms, near), "tf"))
         return _pick(rows, null, F.col("idf_bim"), null, null)
     if model == "lm_dirichlet":

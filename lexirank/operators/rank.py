@@ -79,9 +79,14 @@ def bm25(index: Index, terms: DataFrame, depth: int, weight: str = "qf") -> Data
 # Vectors
 
 
+def known_terms(index: Index, terms: DataFrame) -> DataFrame:
+    """The index's rows of the terms of terms; the few terms go to the vocabulary, which stays where it is."""
+    return index.terms.join(terms.select("term").distinct(), "term", "left_semi")
+
+
 def query_vector(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, term, weight): dampened frequency times smoothed IDF, 0 for words outside the index."""
-    known = terms.join(index.terms.select("term", "idf_smooth"), "term", "left")
+    known = terms.join(known_terms(index, terms).select("term", "idf_smooth"), "term", "left")
     return known.select("query_id", "term", ((F.log("qf") + 1) * F.coalesce("idf_smooth", F.lit(0.0))).alias("weight"))
 
 
@@ -92,7 +97,7 @@ def vector_parts(index: Index, vector: DataFrame, near: DataFrame) -> DataFrame:
 
 def cosine(index: Index, vector: DataFrame, depth: int) -> DataFrame:
     """Candidates among all documents that share a term; queries and documents of length 0 have none."""
-    known = vector.join(index.terms.select("term", F.col("idf_smooth").alias("own")), "term")
+    known = materialize(vector, "vector").join(index.terms.select("term", F.col("idf_smooth").alias("own")), "term")
     return best_documents(index, known, depth, lambda tf, dl, own: [(np.log(tf) + 1) * own], cosine=True)
 
 

@@ -110,7 +110,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     weight = (F.log(F.col("tf").cast("double")) + 1) * F.col("idf_smooth")
     postings = _with_idf(counts, terms).select("term", "pos", "tf", "first_pos", weight.alias("tfidf"), "dl")
-    postings.sortWithinPartitions("term", "pos").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    postings.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
     postings = spark.read.schema(INDEX["postings"]).parquet(f"{path}/postings")
 
     norms = postings.groupBy("pos").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("square"))
